@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, sharding, tokens
+from . import decontaminate, ngram_join, packing, sharding, tokens
 
 QUERIES = {
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op9_token_counts": tokens.op9_token_counts,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_ngram_join": ngram_join.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
 }
