@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, sharding, tokens
+from . import decontaminate, ngram_join, packing, sharding, substring, tokens
 
 QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_packing": packing.op10_packing,
@@ -15,4 +16,5 @@ QUERIES = {
 ORACLES = {
     "op4_ngram_join": ngram_join.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
+    "op6_substring_dedup": substring.ORACLE,
 }
