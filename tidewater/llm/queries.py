@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, ngram_join, packing, sharding, substring, tokens
+from . import decontaminate, linededup, ngram_join, packing, sharding, substring, tokens
 
 QUERIES = {
+    "op2_line_dedup": linededup.op2_line_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_substring_dedup": substring.op6_substring_dedup,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_line_dedup": linededup.ORACLE,
     "op4_ngram_join": ngram_join.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op6_substring_dedup": substring.ORACLE,
