@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, ngram_join, packing, sharding, substring, tokens
+from . import decontaminate, linededup, lm, ngram_join, packing, sharding, substring, tokens
 
 QUERIES = {
     "op2_line_dedup": linededup.op2_line_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_substring_dedup": substring.op6_substring_dedup,
     "op7_sharding": sharding.op7_sharding,
+    "op8_lm_scores": lm.op8_lm_scores,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_packing": packing.op10_packing,
 }
