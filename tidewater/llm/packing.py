@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
-from tokenizers import Tokenizer
 
-from .common import MEMO_WORDS, Scratch, pieces, read_table
+from .bpe import word_ids
+from .common import Scratch, pieces, read_table
 
 SEQUENCE = 4096
 END_ID = 2
@@ -22,40 +22,31 @@ END_ID = 2
 NUMBER_BUCKETS = 64
 
 
-class Encoder(dict):
+class Encoder:
     """Ids, as little-endian 32-bit bytes, of texts under a tokenizer that drops white space and joins no words over it.
 
     The tokenizer's pieces lie between white space, and neither its normaliser (NFC, lower case) nor its special strings
     reach over a space, so that a text's ids are those of its words in a row; ids of words seen before are remembered.
-    Words end at the six ASCII white-space characters; other white space stays inside a word, where the tokenizer sees
-    it."""
+    Words end at white space; in a text with one of the four separators that only Python counts as such, words end at the
+    six ASCII white-space characters, and what else the tokenizer takes for white space it sees inside the word."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.ids = word_ids(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split, seen = [], set()
-        for text in texts:
-            own = _words(text)
-            split.append(own)
-            seen.update(own)
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        new = [w for w in seen if w not in self]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x for x in part], add_special_tokens=False)):
-                self[w] = b"".join(x.to_bytes(4, "little") for x in e.ids)
-        get = self.__getitem__
-        return [b"".join(map(get, own)) for own in split]
+        get = self.ids.__getitem__
+        return [b"".join(map(get, _words(text))) for text in texts]
 
 
+#: Characters that Python's split() takes for white space and the tokenizer doesn't.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACES = str.maketrans("\t\n\r\x0b\x0c", "     ")
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in text.translate(_SPACES).split(" ") if w]
+    if any(c in text for c in _SEPARATORS):
+        return [w for w in text.translate(_SPACES).split(" ") if w]
+    return text.split()
 
 
 def lengths(n: int, sequence: int = SEQUENCE) -> list[int]:
