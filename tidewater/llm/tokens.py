@@ -13,9 +13,9 @@ from collections.abc import Iterator
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from tokenizers import Tokenizer
 
-from .common import MEMO_WORDS, Scratch, pieces, read_table, small
+from .bpe import piece_counts
+from .common import Scratch, pieces, read_table, small
 
 LIMIT = 512
 #: A space between characters that are not white space: the byte-level pattern always begins a new piece there.
@@ -29,7 +29,7 @@ def version(path: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()[:32]
 
 
-class Counter(dict):
+class Counter:
     """Token counts of texts under a byte-level tokenizer of the `tokenizers` library.
 
     A text is cut before each space that parts two other characters. No piece of the tokenizer's pattern reaches over
@@ -37,28 +37,14 @@ class Counter(dict):
     cuts seen before are remembered."""
 
     def __init__(self, path: str):
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, cuts: set[str]) -> None:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-        new = [c for c in cuts if c not in self]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[c] = len(e.ids)
+        self.first, self.counts = piece_counts(path)
 
     def count(self, texts: list[str]) -> list[int]:
-        cut, seen = [], set()
+        get, out = self.counts.__getitem__, []
         for text in texts:
             own = _CUT.split(text) if _NEAR.search(text) else text.split(" ")
-            own[1:] = [" " + x for x in own[1:]]
-            cut.append(own)
-            seen.update(own)
-        self.learn(seen)
-        get = self.__getitem__
-        return [sum(map(get, own)) for own in cut]
+            out.append(self.first[own[0]] + sum(map(get, own[1:])) if text else 0)
+        return out
 
 
 def _digest(text_col: str):
