@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, lm, ngram_join, packing, sharding, substring, tokens
+from . import decontaminate, linededup, lm, ngram_join, packing, sharding, substring, tokens, toxicity
 
 QUERIES = {
     "op2_line_dedup": linededup.op2_line_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_substring_dedup": substring.op6_substring_dedup,
