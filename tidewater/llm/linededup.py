@@ -46,6 +46,22 @@ def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -
     return scratch.keep(sure.unionByName(counted.where(F.col("count") >= min_sites).select(*KEY)), "boilerplate")
 
 
+def _removals(docs: DataFrame, min_sites: int) -> DataFrame:
+    """(gone_id, gone): for each document that loses lines the places of those, from 0; docs: (doc_id, site, text)."""
+    scratch = Scratch(docs.sparkSession, "lines")
+    keys = boilerplate(docs, scratch, min_sites)
+    hits = scratch.keep(_lines(docs).select(*KEY, "doc_id", "at").join(small(keys, keys.count(), 200_000), KEY), "hits")
+    first = scratch.keep(hits.groupBy(*KEY).agg(F.min(F.struct("doc_id", "at")).alias("first")), "first")
+    # Equality of structs that may hold a null id.
+    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
+    return hits.join(first, KEY).where(later).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("at").alias("gone"))
+
+
+def _kept(text_col: str):
+    return F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(
+        F.array_join(F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n"))
+
+
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_removed and kept (the lines left) of every row of docs.
 
@@ -53,20 +69,20 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     line stays where it comes first, by id and place (a null id comes first of all). A null site counts as the site ''.
     A null text has no lines and keeps ''. Rows that repeat an id lose the same places. Other columns are ignored; an
     empty table gives an empty result."""
-    scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(site_col).cast("string").alias("site"), F.col(text_col).alias("text"))
-    keys = boilerplate(docs, scratch, min_sites)
-    hits = scratch.keep(_lines(docs).select(*KEY, "doc_id", "at").join(small(keys, keys.count(), 200_000), KEY), "hits")
-    first = scratch.keep(hits.groupBy(*KEY).agg(F.min(F.struct("doc_id", "at")).alias("first")), "first")
-    # Equality of structs that may hold a null id.
-    later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
-    gone = hits.join(first, KEY).where(later).groupBy("doc_id").agg(F.collect_set("at").alias("gone")).withColumnRenamed("doc_id", "gone_id")
-    lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n"))
-    met = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
-    return met.select("doc_id", F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
-                      F.coalesce(kept, F.lit("")).alias("kept"))
+    met = docs.join(_removals(docs, min_sites), F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    return met.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"),
+                      F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(_kept("text"), F.lit("")).alias("kept"))
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """docs (doc_id, source, text and any columns but gone and gone_id) with the lines left as text, and n_chars, if it
+    is there, as their length; null texts stay null."""
+    gone = _removals(docs.select("doc_id", F.col("source").cast("string").alias("site"), "text"), min_sites)
+    met = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").withColumn("text", _kept("text"))
+    if "n_chars" in docs.columns:
+        met = met.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
+    return met.select(*docs.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

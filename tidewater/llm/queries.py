@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, lm, ngram_join, packing, sharding, substring, tokens, toxicity
+from . import decontaminate, linededup, lm, neighbours, ngram_join, packing, sharding, substring, tokens, toxicity
 
 QUERIES = {
+    "op1_nearest_neighbours": neighbours.op1_nearest_neighbours,
     "op2_line_dedup": linededup.op2_line_dedup,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_ngram_join": ngram_join.op4_ngram_join,
