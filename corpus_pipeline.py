@@ -1,15 +1,53 @@
-"""The corpus pipeline: stages of the training-data operators over documents."""
+"""The corpus pipeline: stages of the training-data operators over documents.
+
+Each stage takes what its predecessor kept, written as Parquet and read again, and all but the last return the columns
+of documents. No stage can be expressed in SQL as a whole (the first holds a trained model), so that ORACLE_SQL is None
+and the stages are tested against brute force."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidewater.llm.common import Scratch, read_table
+from tidewater.llm.decontaminate import decontaminate
+from tidewater.llm.linededup import without_boilerplate
+from tidewater.llm.ngram_join import keep_one
+from tidewater.llm.packing import pack
+from tidewater.llm.toxicity import drop_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    return drop_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand on many sites go, but for their first place; documents stay."""
+    return without_boilerplate(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicate documents the one with the smallest id stays."""
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    return decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token pieces of the documents left."""
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("ngram_join", ngram_join), ("decontamination", decontamination), ("packing", packing)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    scratch, docs = Scratch(spark, "pipeline"), read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs
