@@ -113,6 +113,26 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = 32 << 20) -> Iterator[
             yield batch.slice(i, step)
 
 
+def dense(df: DataFrame, bits: int, dtype, as_bits: bool = False) -> np.ndarray:
+    """df (i long, v long, no repeated i) as an array of 2 ** bits values, or with as_bits as packed bits of v's truth.
+
+    Blocks are laid out by the executors, so that the driver gets at most 2 ** 12 rows of bytes."""
+    low = max(0, bits - 12, min(bits, 14))
+
+    def lay(key: tuple, group: pa.Table) -> pa.Table:
+        out = np.zeros(1 << low, dtype)
+        out[group["i"].to_numpy() & ((1 << low) - 1)] = group["v"].to_numpy()
+        data = np.packbits(out.astype(bool), bitorder="little").tobytes() if as_bits else out.tobytes()
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([data], pa.binary())})
+
+    blocks = df.withColumn("block", F.shiftright("i", low)).groupBy("block").applyInArrow(lay, "block long, data binary").collect()
+    size = (1 << low) // 8 if as_bits else (1 << low) * np.dtype(dtype).itemsize
+    out = bytearray(size << (bits - low))
+    for r in blocks:
+        out[r.block * size : (r.block + 1) * size] = r.data
+    return np.frombuffer(bytes(out), np.uint8 if as_bits else dtype)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same bits as Spark's long."""
     return x.view(np.int64)

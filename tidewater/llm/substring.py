@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, WordHashes, mix, pieces, read_table, signed, texts, window_hashes
+from .common import Scratch, WordHashes, dense, mix, pieces, read_table, signed, texts, window_hashes
 
 WINDOW = 13
 ANCHOR = 5
@@ -79,7 +79,7 @@ def _paths(docs: DataFrame, bits, window: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, filled = WordHashes(), bits.value
-        mask = np.uint64(len(filled) * 64 - 1)
+        mask = np.uint64(len(filled) * 8 - 1)
         for batch in pieces(batches, 8 << 20):
             row, start, path, check, sizes, edges = [], [], [], [], [], []
             for i, text in enumerate(texts(batch["text"])):
@@ -87,7 +87,7 @@ def _paths(docs: DataFrame, bits, window: int) -> DataFrame:
                 if not len(e):
                     continue
                 a &= mask
-                on = (filled[a >> np.uint64(6)] >> (a & np.uint64(63)) & np.uint64(1)).astype(bool)
+                on = (filled[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                 at = np.flatnonzero(on)
                 if not len(at):
                     continue
@@ -125,10 +125,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     shared = scratch.keep(shared, "anchors")
     bits = min(FILTER_BITS, max(16, (16 * shared.count()).bit_length()))
     at = F.col("anchor").bitwiseAND(F.lit((1 << bits) - 1))
-    # At most 2 ** (FILTER_BITS - 6) rows, however many anchors there are.
-    words = shared.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(anchor & 63 as int))")).alias("b")).toPandas()
-    filled = np.zeros(1 << (bits - 6), np.uint64)
-    filled[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(np.uint64)
+    filled = dense(shared.select(at.alias("i"), F.lit(1).cast("long").alias("v")).distinct(), bits, np.uint8, as_bits=True)
     scratch.drop(shared)
 
     paths = _paths(docs, spark.sparkContext.broadcast(filled), window)
