@@ -6,8 +6,8 @@ any node it links with. The order is cut into fragments by hash range; each cand
 fragment by fragment and summed per pair, which is exact.
 
 Candidates come in two rounds, so that a group of near copies doesn't cost a pair for every two of its members. Round
-one links each member of an n-gram's posting list with the one before it and with the first (as many pairs as
-members). Round two takes every pair of a posting list whose members round one left in different components, so that
+one tries each member of an n-gram's posting list with the one before it and with the first, the least edited member
+(as many pairs as members). Round two takes every pair of a posting list whose members round one left in different components, so that
 no link that could join two components is missed. The order and the sketch decide the cost only, never the result."""
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Scratch, WordHashes, pieces, read_table, signed, small, texts, window_hashes
+from .common import Scratch, WordHashes, dense, pieces, read_table, signed, small, texts, window_hashes
 from .components import components
 
 WORDS = 5
 #: Similarity as a ratio of whole numbers: linked if PART * union <= WHOLE * intersection.
 PART, WHOLE = 80, 100
-FRAGMENTS = 8
+#: Sixteenths of the order in each fragment.
+FRAGMENTS = (3, 5, 8)
 #: log2 of the frequency sketch's counters.
 SKETCH_BITS = 20
 
@@ -86,47 +87,51 @@ def _prefixes(docs: DataFrame, weight, kind: str) -> DataFrame:
 
 
 def _segments(docs: DataFrame, kind: str) -> DataFrame:
-    """Rows (doc_id, fragment, grams): each document's n-grams by fragment of the order."""
+    """Rows (doc_id, f0, f1, ...): each document's n-grams in each fragment of the order."""
+    ends = np.array([(int(e) << 60) for e in np.cumsum(FRAGMENTS)[:-1]], np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, shift = WordHashes(), np.uint64(64 - FRAGMENTS.bit_length() + 1)
+        memo = WordHashes()
         for batch in pieces(batches, 16 << 20):
-            row, fragment, grams = [], [], []
-            for i, text in enumerate(texts(batch["text"])):
-                s = gram_set(text, memo)
-                cut = np.searchsorted(s >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                for f in range(FRAGMENTS):
-                    if cut[f] < cut[f + 1]:
-                        row.append(i)
-                        fragment.append(f)
-                        grams.append(signed(s[cut[f] : cut[f + 1]]))
-            if row:
-                ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].take(pa.array(row)), pa.array(fragment, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))],
-                    names=["doc_id", "fragment", "grams"])
+            sets = [gram_set(text, memo) for text in texts(batch["text"])]
+            cuts = [np.concatenate(([0], np.searchsorted(s, ends), [len(s)])) for s in sets]
+            columns = []
+            for f in range(len(FRAGMENTS)):
+                own = [signed(s[c[f] : c[f + 1]]) for s, c in zip(sets, cuts)]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own))))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", *(f"f{f}" for f in range(len(FRAGMENTS)))])
+
+    return docs.mapInArrow(scan, f"doc_id {kind}" + "".join(f", f{f} array<long>" for f in range(len(FRAGMENTS))))
 
-    return docs.mapInArrow(scan, f"doc_id {kind}, fragment int, grams array<long>")
 
+def _possible(n_x, at_x, shared_x, n_y, at_y, shared_y):
+    """Whether two sets that share the n-gram at these places of their orders can be similar enough.
 
-def _near(a: str, b: str):
-    """Whether two set sizes allow the similarity."""
-    return F.col(a) * WHOLE >= F.col(b) * PART, F.col(b) * WHOLE >= F.col(a) * PART
+    Common n-grams before it lie in both prefixes, so among those that other prefixes hold too; after it there are at
+    most as many as the shorter rest has."""
+    most = F.least(shared_x, shared_y) + F.least(n_x - at_x, n_y - at_y)
+    return most * (WHOLE + PART) >= (n_x + n_y) * PART
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair."""
+    """The pairs (a, b) of pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair.
+
+    Fragments go one after the other; pairs that couldn't reach the similarity if all n-grams to come were shared drop
+    out, and theirs aren't moved any more."""
     ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    own = docs.join(small(ids, ids.count()), "doc_id", "left_semi")
-    parts = scratch.keep(_segments(own, kind), "segments")
-    left = parts.select(F.col("doc_id").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = parts.select(F.col("doc_id").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
-    out = partial.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    out = scratch.keep(out.where(F.col("both") * WHOLE >= (F.col("na") + F.col("nb") - F.col("both")) * PART).select("a", "b"), "links")
+    parts = scratch.keep(_segments(docs.join(small(ids, ids.count()), "doc_id", "left_semi"), kind), "segments")
+    # left_a, left_b: n-grams in the fragments to come.
+    alive, old = pairs.select("*", F.lit(0).cast("long").alias("both"), F.col("na").alias("left_a"), F.col("nb").alias("left_b")), None
+    for f in range(len(FRAGMENTS)):
+        met = alive.join(parts.select(F.col("doc_id").alias("a"), F.col(f"f{f}").alias("ga")), "a").join(parts.select(F.col("doc_id").alias("b"), F.col(f"f{f}").alias("gb")), "b")
+        met = met.select("a", "b", "na", "nb", (F.col("both") + F.size(F.array_intersect("ga", "gb"))).alias("both"),
+                         (F.col("left_a") - F.size("ga")).alias("left_a"), (F.col("left_b") - F.size("gb")).alias("left_b"))
+        most = F.col("both") + F.least("left_a", "left_b")
+        alive = scratch.keep(met.where(most * (WHOLE + PART) >= (F.col("na") + F.col("nb")) * PART), "alive")
+        scratch.drop(old)
+        old = alive
     scratch.drop(parts, ids)
-    return out
+    return alive.select("a", "b")
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,10 +146,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanned = scratch.keep(_digests(docs, kind), "digests")
     rows = scanned.where("bucket is null").select("doc_id", "n_shingles", "digest")
-    # At most 2 ** SKETCH_BITS rows, however many documents there are.
-    sketch = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).where("seen > 7").toPandas()
-    weights = np.zeros(1 << SKETCH_BITS, np.uint8)
-    weights[sketch["bucket"].to_numpy(np.int64)] = np.log2(sketch["seen"].to_numpy(np.float64)).astype(np.uint8) if len(sketch) else 0
+    sketch = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).where("seen > 7")
+    weights = dense(sketch.select(F.col("bucket").alias("i"), F.floor(F.log2("seen")).cast("long").alias("v")), SKETCH_BITS, np.uint8)
     weight = spark.sparkContext.broadcast(weights)
 
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
@@ -154,27 +157,30 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = members.where("class_id <> doc_id").select("doc_id").distinct()
     single = docs.where("doc_id is not null").join(small(copies, members.where("class_id <> doc_id").count()), "doc_id", "left_anti")
 
-    by_size = W.partitionBy("gram").orderBy("size", "doc_id")
-    posted = _prefixes(single, weight, kind).select(
-        "*", F.lag("doc_id").over(by_size).alias("before"), F.lag("size").over(by_size).alias("before_size"),
-        F.lead("doc_id").over(by_size).alias("after"),
-        F.first("doc_id").over(by_size).alias("hub"), F.first("size").over(by_size).alias("hub_size"))
-    posted = scratch.keep(posted.where("before is not null or after is not null").drop("after", "at"), "postings")
-    star = posted.select(F.col("doc_id").alias("b"), F.col("size").alias("nb"), F.explode(F.array(
-        F.struct(F.col("before").alias("a"), F.col("before_size").alias("na")), F.struct(F.col("hub").alias("a"), F.col("hub_size").alias("na")))).alias("x"))
-    star = star.select("x.a", "b", "x.na", "nb").where(F.col("a").isNotNull() & (F.col("a") != F.col("b"))).where(_near("na", "nb")[0] & _near("na", "nb")[1])
+    # Postings that share their n-gram with another prefix, and how many of those each document has before.
+    in_list = W.partitionBy("gram").orderBy("doc_id")
+    met = _prefixes(single, weight, kind).select("*", F.lag("doc_id").over(in_list).alias("before"), F.lead("doc_id").over(in_list).alias("after"))
+    met = met.where("before is not null or after is not null").drop("before", "after")
+    posted = scratch.keep(met.withColumn("shared", F.row_number().over(W.partitionBy("doc_id").orderBy("at")).cast("long") - 1), "postings")
+    # Members with the fewest n-grams of their own come first: the least edited of near copies is the hub.
+    plain = W.partitionBy("gram").orderBy(F.col("at") - F.col("shared"), "size", "doc_id")
+    member = F.struct("doc_id", "size", "at", "shared")
+    star = posted.select("*", F.lag(member).over(plain).alias("before"), F.first(member).over(plain).alias("hub"))
+    star = star.select("doc_id", "size", "at", "shared", F.explode(F.array("before", "hub")).alias("x")).where(F.col("x").isNotNull() & (F.col("x.doc_id") != F.col("doc_id")))
+    star = star.where(_possible(*(F.col(c) for c in ("size", "at", "shared", "x.size", "x.at", "x.shared")))).select(
+        F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("x.size").alias("na"), F.col("size").alias("nb"))
     tried = scratch.keep(_ordered(star).distinct(), "star")
     links = _verified(tried, docs, kind, scratch)
     found = components(links, scratch)
 
-    own = scratch.keep(posted.select("gram", "doc_id", "size").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-                       .select("gram", "doc_id", "size", F.coalesce("component", "doc_id").alias("c")), "labelled")
+    own = scratch.keep(posted.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+                       .select("gram", "doc_id", "size", "at", "shared", F.coalesce("component", "doc_id").alias("c")), "labelled")
     mixed = own.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
     open_ = scratch.keep(own.join(mixed, "gram"), "open")
     scratch.drop(own, posted)
-    x, y = (open_.select("gram", *(F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "size", "c"))) for s in "xy")
+    x, y = (open_.select("gram", *(F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "size", "at", "shared", "c"))) for s in "xy")
     cross = x.join(y, (x.gram == y.gram) & (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y"))
-                   & (F.col("size_x") * WHOLE >= F.col("size_y") * PART) & (F.col("size_y") * WHOLE >= F.col("size_x") * PART))
+                   & _possible(*(F.col(f"{k}_{s}") for s in "xy" for k in ("size", "at", "shared"))))
     cross = cross.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.col("size_x").alias("na"), F.col("size_y").alias("nb")).distinct()
     cross = scratch.keep(cross.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
