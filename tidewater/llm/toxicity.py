@@ -30,9 +30,9 @@ FEATURE_BITS = 18
 #: Tokens in a row of the matrices that chains are laid out in; longer documents take several linked rows.
 ROW = 256
 ROUNDS = 60
-#: Toxic documents and different pairs of neighbours that a marking feature has at least, and its rate among clean
-#: documents against that among toxic ones at most.
-LEAST_PLACES, MOST_CLEAN = 5, 0.02
+#: A marking feature is in this many toxic documents and this share of them at least (and between half as many different
+#: pairs of neighbours), and its rate among clean documents is at most this part of that among toxic ones.
+LEAST, LEAST_SHARE, MOST_CLEAN = 5, 0.02, 0.04
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -148,7 +148,8 @@ def label_tokens(tokens: list[np.ndarray], toxic: list[bool], hashes: np.ndarray
     n_bad, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     at = np.minimum(np.searchsorted(clean, bad), max(0, len(clean) - 1))
     c = np.where(clean[at] == bad, c[at], 0) if len(clean) else np.zeros(len(bad))
-    precise = bad[(n >= LEAST_PLACES) & (c / n_clean <= MOST_CLEAN * n / n_bad)]
+    least = max(LEAST, LEAST_SHARE * n_bad)
+    precise = bad[(n >= least) & (c / n_clean <= MOST_CLEAN * n / n_bad)]
     places = []
     for t, y in zip(tokens, toxic):
         if y and len(t):
@@ -157,7 +158,7 @@ def label_tokens(tokens: list[np.ndarray], toxic: list[bool], hashes: np.ndarray
             places.append(np.column_stack([hashes[t][row, column], around[row].astype(np.uint64)]))
     places = np.unique(np.concatenate(places), axis=0)[:, 0] if places else np.empty(0, np.uint64)
     feature, between = np.unique(places, return_counts=True)
-    return feature[between >= LEAST_PLACES]
+    return feature[between >= max(LEAST, least / 2)]
 
 
 class Model:
