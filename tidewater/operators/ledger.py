@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window as W, functions as F
 
 from .versions import prefix_sum
 
@@ -34,7 +34,7 @@ def deposits(events: DataFrame, accounts: DataFrame) -> DataFrame:
     return run.join(base, "key", "left").select(*events.columns, (F.coalesce("__base", F.lit(0)) + F.col("__before") + F.coalesce("amount", F.lit(0))).alias("balance"))
 
 
-def settle(legs: DataFrame, accounts: DataFrame, commits: Column, rounds: int | None = None) -> DataFrame:
+def settle(legs: DataFrame, accounts: DataFrame, commits: Column) -> DataFrame:
     """legs with `seen` (the balance read) and `committed`.
 
     legs: (bid, leg, key, delta, decides, ...): what a transaction adds to each key. accounts: (key, balance). commits: a
@@ -50,15 +50,16 @@ def settle(legs: DataFrame, accounts: DataFrame, commits: Column, rounds: int |
         return spark.read.schema(df.schema).parquet(f"{root}/{n:04d}")
 
     base = accounts.select("key", F.col("balance").alias("__base"))
-    start = keep(legs.join(base, "key", "left").withColumn("__base", F.coalesce("__base", F.lit(0))))
-    guess = keep(start.withColumn("__ok", F.lit(True)))
+    guess = keep(legs.join(base, "key", "left").withColumn("__base", F.coalesce("__base", F.lit(0))).withColumn("__ok", F.lit(True)))
+    whole = W.partitionBy("bid")
     while True:
         read = prefix_sum(guess.withColumn("__delta", F.when(F.col("__ok"), F.col("delta"))), ["key"], "__delta", "__before")
         read = read.withColumn("seen", F.col("__base") + F.col("__before")).drop("__before", "__delta")
-        told = read.where("decides").select(F.col("bid").alias("__bid"), F.coalesce(commits, F.lit(False)).alias("__now"))
-        read = keep(read.join(told, F.col("bid") == F.col("__bid"), "left").withColumn("__now", F.coalesce("__now", F.lit(False))).drop("__bid"))
-        changed = read.where("__ok <> __now").limit(1).count()
-        if not changed or (rounds is not None and n > rounds):
+        # The leg that decides tells the others of its transaction.
+        read = read.withColumn("__now", F.coalesce(F.max(F.when(F.col("decides"), commits)).over(whole), F.lit(False)))
+        count = Observation()
+        read = keep(read.observe(count, F.count(F.when(F.col("__ok") != F.col("__now"), 1)).alias("changed")))
+        if not count.get["changed"]:
             return read.select(*legs.columns, "seen", F.col("__now").alias("committed"))
         guess = read.withColumn("__ok", F.col("__now")).drop("__now", "seen")
 
