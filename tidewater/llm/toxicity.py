@@ -290,7 +290,7 @@ class _Scorer(dict):
 
 def toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score double, predicted int and spans array<struct<begin, end>> (bytes of the UTF-8 text that runs of
-    tokens with a marginal of 1/2 or more take up).
+    tokens with a marginal of 1/2 or more take up; in a rejected document without such, those of its largest marginal).
 
     Null and empty texts have no tokens and get the score of a text without toxic ones. Repeated rows get equal scores.
     Without a model all scores are 0. All columns of docs stay; it must not have columns score, predicted or spans."""
@@ -302,16 +302,16 @@ def toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
         for batch in pieces(batches, 4 << 20):
             own = texts(batch["text"])
             found = scorer.of(own) if sent.value and own else [np.empty(0)] * len(own)
+            score = sent.value.scores(np.array([summary(p) for p in found]).reshape(-1, 4)) if sent.value else np.zeros(len(own))
             spans = []
-            for text, p in zip(own, found):
-                on = np.flatnonzero(p >= 0.5)
+            for text, p, y in zip(own, found, score >= threshold):
+                on = np.flatnonzero(p >= (min(0.5, p.max()) if y and len(p) else 0.5))
                 if not len(on):
                     spans.append([])
                     continue
                 at = [m.span() for m in _WORD.finditer(text)]
                 cut = np.flatnonzero(np.diff(on) > 1) + 1
                 spans.append([{"begin": at[k[0]][0], "end": at[k[-1]][1]} for k in np.split(on, cut)])
-            score = sent.value.scores(np.array([summary(p) for p in found]).reshape(-1, 4)) if sent.value else np.zeros(len(own))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, kind)], names=[*batch.schema.names, "score", "predicted", "spans"])
 
