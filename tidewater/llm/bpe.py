@@ -12,8 +12,8 @@ import re
 
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers of each kind.
-MEMO = 500_000
+#: Words (or cuts between spaces) and pieces of them that a worker remembers: some 100 MB together.
+MEMO, CORES = 300_000, 200_000
 #: Letters that need no normalising and whose lower case is one letter.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ".replace("į", "į").replace("ı", "ı")
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -55,7 +55,7 @@ class WordIds(dict):
         return ids
 
     def core(self, piece: str) -> bytes:
-        if len(self.cores) > MEMO:
+        if len(self.cores) > CORES:
             self.cores.clear()
         ids = self.cores[piece] = packed([t.id for t in self.model.tokenize(written(piece))])
         return ids
@@ -84,7 +84,7 @@ class PieceCounts(dict):
         return n
 
     def core(self, piece: str) -> int:
-        if len(self.cores) > MEMO:
+        if len(self.cores) > CORES:
             self.cores.clear()
         n = self.cores[piece] = len(self.model.tokenize(written(piece)))
         return n

@@ -15,8 +15,8 @@ from xxhash import xxh3_64_intdigest
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
-#: Words that one Python worker keeps hashes or token ids of.
-MEMO_WORDS = 1_000_000
+#: Words that one Python worker keeps hashes or scores of.
+MEMO_WORDS = 300_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, where it is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidewater.shared.dir", None)
     if not path:
         local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
         path = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
