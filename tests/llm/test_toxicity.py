@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -29,6 +30,32 @@ def test_marginals_against_enumeration(monkeypatch):
             assert p == pytest.approx(brute_marginals(d, start, step))
 
 
+def test_rare_words_mark_and_copied_or_chance_ones_do_not():
+    """'kwyjibo' stands in 25 of 2,000 toxic documents (1.25 %), 'zanzibar' in 25 near copies of one passage, 'quokka' in 6."""
+    rng = np.random.default_rng(3)
+    vocab = [b"kwyjibo", b"zanzibar", b"quokka", *(b"v%dx" % i for i in range(500))]
+    hashes = np.array([T.feature_hashes(w) for w in vocab], np.uint64)
+    tokens = [rng.integers(3, len(vocab), 20) for _ in range(4000)]
+    toxic = [i < 2000 for i in range(4000)]
+    for i in range(25):
+        tokens[i][rng.integers(1, 19)] = 0
+        tokens[100 + i][5:12] = [7, 8, 9, 1, 10, 11, 12]
+    for i in range(200, 206):
+        tokens[i][7] = 2
+    marks = set(T.label_tokens(tokens, toxic, hashes).tolist())
+    assert [int(h[0]) in marks for h in hashes[:3]] == [True, False, False]
+    assert not marks & set(hashes[3:, 0].tolist())
+
+
+def test_chance_is_a_binomial_tail():
+    def tail(n, c, p):
+        return sum(math.comb(n + c, j) * p ** (n + c - j) * (1 - p) ** j for j in range(c + 1))
+
+    n, c = np.array([5, 9, 9, 40]), np.array([0, 2, 0, 3])
+    assert T.chance(n, c, 0.4) == pytest.approx([tail(*x, 0.4) for x in zip(n.tolist(), c.tolist())])
+    assert len(T.chance(n[:0], c[:0], 0.4)) == 0
+
+
 def test_held_out_accuracy(spark):
     path = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "text")

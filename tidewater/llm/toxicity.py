@@ -2,7 +2,9 @@
 
 Labels say which documents are toxic, not which words, so tokens are labelled first: word features (whole words and
 their first letters) that stand in toxic training documents and practically never in others mark the toxic tokens, if
-they do so between enough different neighbours (what comes with copies of one text has always the same ones). A two-state chain is then trained on
+they do so more often than chance explains. Documents count there as far as the neighbours differ (what comes with copies
+of one text has always the same ones), and the test asks no share of the toxic documents: a word of a rare language or
+topic needs a number of documents that grows with the logarithm of the number of features only. A two-state chain is then trained on
 hashed word features by gradient ascent on its likelihood. Forward-backward marginals of every token of a whole
 document give its offending spans, and their maximum and union a score through a logistic curve fitted on the training
 labels.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +33,11 @@ FEATURE_BITS = 18
 #: Tokens in a row of the matrices that chains are laid out in; longer documents take several linked rows.
 ROW = 256
 ROUNDS = 60
-#: A marking feature is in this many toxic documents and this share of them at least (and between half as many different
-#: pairs of neighbours), and its rate among clean documents is at most this part of that among toxic ones.
-LEAST, LEAST_SHARE, MOST_CLEAN = 5, 0.02, 0.04
+#: A marking feature is in this many toxic documents at least (and between as many different pairs of neighbours), and
+#: its rate among clean documents is at most this part of that among toxic ones.
+LEAST, MOST_CLEAN = 5, 0.04
+#: Share of chance finds among the marking features at most (Benjamini and Hochberg).
+CHANCE = 0.05
 
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -144,21 +149,38 @@ def label_tokens(tokens: list[np.ndarray], toxic: list[bool], hashes: np.ndarray
         found = [np.unique(hashes[np.unique(t)]) for t, y in zip(tokens, toxic) if y is kind]
         return np.unique(np.concatenate(found or [np.empty(0, np.uint64)]), return_counts=True)
 
-    (bad, n), (clean, c) = documents(True), documents(False)
+    (bad, n), (clean, met) = documents(True), documents(False)
     n_bad, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
     at = np.minimum(np.searchsorted(clean, bad), max(0, len(clean) - 1))
-    c = np.where(clean[at] == bad, c[at], 0) if len(clean) else np.zeros(len(bad))
-    least = max(LEAST, LEAST_SHARE * n_bad)
-    precise = bad[(n >= least) & (c / n_clean <= MOST_CLEAN * n / n_bad)]
+    c = np.where(clean[at] == bad, met[at], 0) if len(clean) else np.zeros(len(bad), np.int64)
+    tested = np.count_nonzero(n + c >= LEAST)
+    precise = (n >= LEAST) & (c / n_clean <= MOST_CLEAN * n / n_bad)
+    # Toxic documents may be longer: their share of what is counted.
+    share = min(n.sum() / max(1, n.sum() + met.sum()), 1 - 1e-9)
+    bad, n, c = bad[precise], n[precise], c[precise]
     places = []
     for t, y in zip(tokens, toxic):
         if y and len(t):
             around = np.append(-1, t[:-1]) * len(hashes) + np.append(t[1:], -1)
-            row, column = np.nonzero(np.isin(hashes[t], precise))
+            row, column = np.nonzero(np.isin(hashes[t], bad))
             places.append(np.column_stack([hashes[t][row, column], around[row].astype(np.uint64)]))
     places = np.unique(np.concatenate(places), axis=0)[:, 0] if places else np.empty(0, np.uint64)
-    feature, between = np.unique(places, return_counts=True)
-    return feature[between >= max(LEAST, least / 2)]
+    # Every feature of bad has a place.
+    between = np.unique(places, return_counts=True)[1]
+    p = chance(np.minimum(n, between), c, share)
+    ranked = np.sort(p)
+    passed = ranked[ranked <= CHANCE * np.arange(1, len(p) + 1) / max(1, tested)]
+    return bad[(between >= LEAST) & (p <= passed.max(initial=0))]
+
+
+def chance(n: np.ndarray, c: np.ndarray, share: float) -> np.ndarray:
+    """P(c or fewer of n + c documents are clean) if each is toxic by a chance of share."""
+    def tail(n: int, c: int) -> float:
+        whole = lgamma(n + c + 1)
+        return sum(exp(whole - lgamma(j + 1) - lgamma(n + c - j + 1) + (n + c - j) * log(share) + j * log1p(-share)) for j in range(c + 1))
+
+    pairs, at = np.unique(np.column_stack([n, c]).astype(np.int64), axis=0, return_inverse=True)
+    return np.array([tail(*map(int, x)) for x in pairs])[at.ravel()] if len(pairs) else np.empty(0)
 
 
 class Model:
