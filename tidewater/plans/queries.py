@@ -152,6 +152,15 @@ query("set_members", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT
 query("decayed_counts", "SELECT user_id, round(sum(value * power(0.5, (20000 - event_id) / 1000.0)), 6) AS level FROM events WHERE event_id <= 20000 GROUP BY 1")(
     lambda s, d: stats.decayed_counts(table(s, d, "events"), "user_id", "value", "event_id", 1000.0, 20000.0).withColumn("level", F.round("level", 6)))
 
+
+@query("decayed_counts_last", "SELECT user_id, round(sum(value * power(0.5, (m - event_id) / 1000.0)), 6) AS level FROM events, (SELECT max(event_id) AS m FROM events) GROUP BY 1")
+def decayed_counts_last(spark, sf):
+    """As of the last event, so that every event counts."""
+    events = table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    return stats.decayed_counts(events, "user_id", "value", "event_id", 1000.0, float(last)).withColumn("level", F.round("level", 6))
+
+
 # --- Versioned state ------------------------------------------------------------------------------------------------
 
 
@@ -169,6 +178,16 @@ query("asof_state_lookup", f"SELECT o_orderkey AS bid, o_custkey AS key, l.bid A
     lambda s, d: V.read_latest(version_log(s, d), table(s, d, "orders").select(F.col("o_orderkey").alias("bid"), F.col("o_custkey").alias("key")), ["key"]))
 query("snapshot_read", f"SELECT key, max(bid) AS bid, max_by(value, bid) AS value FROM {_LOG} WHERE bid < 5000 GROUP BY key")(
     lambda s, d: V.snapshot(version_log(s, d), ["key"], 5000))
+
+
+@query("snapshot_read_last", f"SELECT key, max(bid) AS bid, max_by(value, bid) AS value FROM {_LOG} GROUP BY key")
+def snapshot_read_last(spark, sf):
+    """As of an event after the last one, so that every event counts."""
+    log = version_log(spark, sf)
+    last = log.agg(F.max("bid")).first()[0]
+    return V.snapshot(log, ["key"], V.BASE if last is None else last + 1)
+
+
 query("compact_versions", f"SELECT key, CAST(-1 AS BIGINT) AS bid, max_by(value, bid) AS value FROM {_LOG} GROUP BY key")(lambda s, d: V.compact(version_log(s, d), ["key"]))
 query("window_read_range", f"SELECT key, bid, count(*) OVER w AS n_versions, CAST(sum(value) OVER w AS BIGINT) AS sum_versions FROM {_LOG} WINDOW w AS (PARTITION BY key ORDER BY bid RANGE BETWEEN 1024 PRECEDING AND 1 PRECEDING)")(
     lambda s, d: V.read_window(version_log(s, d), version_log(s, d).select("key", "bid"), ["key"], 1024))
