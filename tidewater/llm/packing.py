@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .bpe import word_ids
-from .common import Scratch, pieces, read_table
+from .common import Scratch, pieces, read_table, small
 
 SEQUENCE = 4096
 END_ID = 2
-#: Sub-buckets of a length within which sequences are numbered.
-NUMBER_BUCKETS = 64
+#: Pieces of one length, on average, that a task numbers at a time.
+NUMBERED = 1 << 20
 
 
 class Encoder:
@@ -61,7 +61,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sequence: i
 
     sequence must be a power of two. Null and empty texts are documents of the end id alone. Repeated rows, also with
     null or repeated ids, are documents of their own. sequence_id runs from 0 without gaps, longest sequences first,
-    ties by id and start; each sequence holds one piece, at offset 0. Other columns are ignored; an empty table gives
+    those of one length in the order of a hash of id and start; each sequence holds one piece, at offset 0. Other columns are ignored; an empty table gives
     an empty result. No text or document is cut short: long ones give more pieces."""
     if sequence & (sequence - 1):
         raise ValueError("the sequence length must be a power of two")
@@ -94,13 +94,16 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sequence: i
 
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     cuts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, schema)
-    # Equal lengths share a bucket; its sub-buckets' counts (at most 13 * 64 of them) give each its first number.
-    cuts = scratch.keep(cuts.withColumn("b", F.pmod(F.xxhash64("doc_id", "start"), F.lit(NUMBER_BUCKETS)).cast("int")), "pieces")
+    # Equal lengths share a bucket, and a bucket of many pieces is numbered in sub-buckets.
+    cuts = scratch.keep(cuts, "pieces")
+    parts = {r.length: max(16, -(-r.n // NUMBERED)) for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row per power of two
+    part = F.element_at(F.create_map(*(F.lit(x) for kv in (parts or {1: 1}).items() for x in kv)), F.col("length"))
+    cuts = cuts.withColumn("b", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), part.cast("long")))
     counts = cuts.groupBy("length", "b").agg(F.count("*").alias("n"))
-    # One window over the bounded counts only.
+    # One window over the counts only, a row for NUMBERED pieces.
     first = counts.withColumn("first", F.sum("n").over(W.orderBy(F.desc("length"), "b")) - F.col("n")).drop("n")
     at = F.row_number().over(W.partitionBy("length", "b").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
-    numbered = cuts.withColumn("at", at.cast("long")).join(F.broadcast(first), ["length", "b"])
+    numbered = cuts.withColumn("at", at.cast("long")).join(small(first, sum(parts.values())), ["length", "b"])
     return numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("at") - 1).alias("sequence_id"),
                            F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
 
