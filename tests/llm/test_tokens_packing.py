@@ -4,7 +4,8 @@ import public_tokenizers as P
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from tidewater.llm import packing, tokens
+from tidewater.llm import common, packing, tokens
+from tidewater.llm.common import attach
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 ODD_TEXT = st.text(alphabet="s't3İıŉÄẞx- \n\t\r\x0b\x1c  \u0085aB'1.́é<|endoftext|>ſΣİ", max_size=60)
@@ -53,6 +54,36 @@ def test_cache_is_used_and_grows(spark, tmp_path):
     assert new.count() == 1
 
 
+def test_a_second_run_encodes_nothing(spark, sf, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/cache"
+    first = sorted(map(tuple, tokens.op9_token_counts(spark, sf, path).collect()))
+    n = tokens.read_cache(spark, path).count()
+    encoded = []
+    counted = tokens.count_tokens
+    monkeypatch.setattr(tokens, "count_tokens", lambda *a, **k: (out := counted(*a, **k), encoded.append(out[1]))[0])
+    assert sorted(map(tuple, tokens.op9_token_counts(spark, sf, path).collect())) == first
+    assert encoded == [None] and tokens.read_cache(spark, path).count() == n
+    # Other texts are encoded, and only those; rows that two jobs appended count once.
+    docs = spark.createDataFrame([(1, "a text that is new"), (2, None), (3, "a text that is new")], "doc_id long, text string").unionByName(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    _, new = counted(docs, BYTE, tokens.read_cache(spark, path))
+    assert new.count() == 2 - spark.read.parquet(f"{sf}/documents.parquet").where("text = ''").limit(1).count()
+    tokens.append(new, path)
+    tokens.append(new, path)
+    counts, none = counted(docs, BYTE, tokens.read_cache(spark, path))
+    assert none is None and counts.count() == docs.count()
+
+
+def test_a_hot_digest_is_sent(spark, monkeypatch):
+    """A text that a third of the rows share goes by broadcast, the others by shuffle."""
+    monkeypatch.setattr(tokens, "attach", lambda rows, by, keys, n, total, limit: attach(rows, by, keys, n, total, 0))
+    monkeypatch.setattr(common, "HEAVY", 10)
+    rows = [(i, "the same words again" if i % 3 == 0 else f"word {i}") for i in range(300)]
+    counts, _ = tokens.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BYTE)
+    library = Tokenizer.from_file(BYTE)
+    assert sorted((r.doc_id, r.n_tokens) for r in counts.collect()) == [(i, len(library.encode(t).ids)) for i, t in rows]
+
+
 def test_odd_rows(odd):
     counts, new = tokens.count_tokens(odd, BYTE)
     library = Tokenizer.from_file(BYTE)

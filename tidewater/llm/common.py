@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, where it is set."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidewater.shared.dir", None)
     if not path:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        path = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not (spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("tidewater.shared.dir", path)
     return path.rstrip("/")
@@ -68,6 +69,29 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+#: A key is heavy if it has more than this part of all rows; there are at most HEAVY of those.
+HEAVY = 20_000
+
+
+def attach(rows: DataFrame, by: DataFrame, keys: list[str], n_by: int, total: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of by (a row per key, no nulls in keys; its column n, the rows that have the key, goes).
+
+    A short list is sent to all tasks. Of a long one only the heavy keys are, HEAVY of them at most, so that a key with
+    a third of all rows doesn't meet in one task; the other keys' rows are shuffled."""
+    if n_by <= limit:
+        return rows.join(F.broadcast(by.drop("n")), keys)
+    heavy = F.col("n") * HEAVY >= total
+    hot = F.broadcast(by.where(heavy).drop("n"))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(by.where(~heavy).drop("n"), keys))
+
+
+def by_place(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """docs with columns named c0, c1, ... by place, and the new name of a column: whatever docs calls its columns, they
+    don't meet the operator's own."""
+    names = [c.lower() for c in docs.columns]
+    return docs.toDF(*(f"c{i}" for i in range(len(names)))), lambda name: f"c{names.index(name.lower())}"
+
+
 class WordHashes(dict):
     """Hashes of words, kept for the words seen lately."""
 

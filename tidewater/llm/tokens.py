@@ -1,21 +1,25 @@
 """Token counts behind a digest cache.
 
-The cache holds one row per content digest and tokenizer version. Documents' digests are joined to it; only distinct
-texts that it lacks are encoded, and their counts are appended to it. Texts are not shuffled to find the distinct ones:
-the digests are, and the text is read again for one row per missing digest."""
+The cache is a table in the shared folder, with a folder per tokenizer version and in it one per batch that was
+appended. It holds a row per content digest. Documents' distinct digests are joined to it; only distinct texts that it
+lacks are encoded, and their counts are appended to it. Texts are not shuffled to find the distinct ones: the digests
+are, and the text is read again for one row per missing digest. Counts come back to the documents by digest; digests
+that many documents share are sent to all tasks, so that copies don't meet in one."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import piece_counts
-from .common import Scratch, pieces, read_table, small
+from .common import Scratch, attach, pieces, read_table, shared_dir, small
 
 LIMIT = 512
 #: A space between characters that are not white space: the byte-level pattern always begins a new piece there.
@@ -24,9 +28,9 @@ _NEAR = re.compile(r"\s | \s|\A\s|\s\Z")
 
 
 def version(path: str) -> str:
-    """Digest of a tokenizer's file."""
+    """Digest of a tokenizer's file and of the library's version."""
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read()).hexdigest()[:32]
+        return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()[:32]
 
 
 class Counter:
@@ -53,59 +57,74 @@ def _digest(text_col: str):
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text"):
     """Returns (counts, additions): doc_id, n_bytes and n_tokens of every row of docs, and the cache rows to append
-    (digest binary, tokenizer string, n_tokens long), each distinct missing text encoded once.
+    (digest binary, tokenizer string, n_tokens long), each distinct missing text encoded once; additions is None if the
+    cache has all.
 
     cache: an earlier table of such rows, of any tokenizers; rows of other versions don't count, and a digest that it
     repeats counts once. The content is normalised as the tokenizer does, which for the byte-level ones is not at all:
     texts that differ in one byte have digests of their own. A null text counts as the empty one, of no tokens. Repeated
     rows and repeated or null ids each get a row. Other columns are ignored; an empty table gives empty results."""
-    spark = docs.sparkSession
-    scratch, ver = Scratch(spark, "tokens"), version(tokenizer_path)
+    scratch, ver = Scratch(docs.sparkSession, "tokens"), version(tokenizer_path)
     seen = scratch.keep(docs.select(F.col(id_col).alias("doc_id"), _digest(text_col).alias("digest"),
                                     F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes")), "digests")
-    one = seen.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    known = None
-    if cache is not None:
+    one = seen.groupBy("digest").agg(F.min("doc_id").alias("own"), F.count("*").alias("n"))
+    if cache is None:
+        stored = one.withColumn("n_tokens", F.lit(None).cast("long"))
+    else:
         known = cache.where(F.col("tokenizer") == ver).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-        one = one.join(known, "digest", "left_anti")
-    one = scratch.keep(one, "misses")
-    missing, rows = one.count(), seen.count()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+        stored = one.join(known, "digest", "left")
+    stored = scratch.keep(stored, "distinct")
+    misses = stored.where("n_tokens is null").select("digest", "own")
+    distinct, missing, rows = stored.agg(F.count("*"), F.count(F.when(F.col("n_tokens").isNull(), 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    additions = None
     if missing:
-        texts = texts.withColumn("digest", _digest("text"))
+        texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", _digest("text"))
         # The rows to encode, or else those to leave out, whichever list is short enough to send to all tasks.
-        match = [F.col("digest") == F.col("m.digest"), F.col("doc_id").eqNullSafe(F.col("m.doc_id"))]
-        left = seen.join(one.select("digest", F.col("doc_id").alias("own"), F.lit(True).alias("miss")), "digest", "left").where(
-            F.col("miss").isNull() | ~F.col("doc_id").eqNullSafe(F.col("own"))).select("digest", "doc_id") if rows - missing <= 200_000 else None
-        if left is not None:
-            texts = texts.join(F.broadcast(left.distinct().alias("m")), [texts.digest == F.col("m.digest"), texts.doc_id.eqNullSafe(F.col("m.doc_id"))], "left_anti")
+        match = [F.col("digest") == F.col("m_digest"), F.col("doc_id").eqNullSafe(F.col("m_id"))]
+        if rows - missing <= 200_000:
+            mine = misses.select("digest", "own", F.lit(True).alias("miss"))
+            left = seen.join(mine, "digest", "left").where(F.col("miss").isNull() | ~F.col("doc_id").eqNullSafe(F.col("own")))
+            texts = texts.join(F.broadcast(left.select(F.col("digest").alias("m_digest"), F.col("doc_id").alias("m_id")).distinct()), match, "left_anti")
         else:
-            texts = texts.join(small(one.select("digest", "doc_id").alias("m"), missing, 200_000), [texts.digest == F.col("m.digest"), texts.doc_id.eqNullSafe(F.col("m.doc_id"))], "left_semi")
+            texts = texts.join(small(misses.select(F.col("digest").alias("m_digest"), F.col("own").alias("m_id")), missing, 200_000), match, "left_semi")
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path)
-        for batch in pieces(batches, 8 << 20):
-            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(counter.count(batch["text"].to_pylist()), pa.int64())], names=["digest", "n_tokens"])
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counter = Counter(tokenizer_path)
+            for batch in pieces(batches, 8 << 20):
+                yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(counter.count(batch["text"].to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
-    if missing:
         # Rows that repeat both id and text are encoded again, and meet here.
         new = texts.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    else:
-        new = spark.createDataFrame([], "digest binary, n_tokens long")
-    additions = scratch.keep(new.select("digest", F.lit(ver).alias("tokenizer"), "n_tokens"), "additions")
-    stored = additions.select("digest", "n_tokens")
-    if known is not None:
-        stored = stored.unionByName(known)
-    counts = seen.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens")
-    return counts, additions
+        additions = scratch.keep(new.select("digest", F.lit(ver).alias("tokenizer"), "n_tokens"), "additions")
+        found = stored.select("digest", "n", F.col("n_tokens").alias("old")).join(additions.select("digest", "n_tokens"), "digest", "left")
+        stored = scratch.keep(found.select("digest", "n", F.coalesce("old", "n_tokens").alias("n_tokens")), "counts")
+    counts = attach(seen, stored.select("digest", "n", "n_tokens"), ["digest"], distinct, rows, 200_000)
+    return counts.select("doc_id", "n_bytes", "n_tokens"), additions
+
+
+def read_cache(spark: SparkSession, cache_path: str) -> DataFrame | None:
+    """The rows (digest, tokenizer, n_tokens) appended so far; None before the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_path)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.schema("digest binary, n_tokens long, tokenizer string, batch string").parquet(cache_path).select("digest", "tokenizer", "n_tokens")
+
+
+def append(additions: DataFrame | None, cache_path: str) -> None:
+    """Adds new rows to the cache, in a batch folder of their own below their version's. Jobs that append at the same time
+    don't meet; digests that two of them add, or rows that a failed one left, count once when the cache is read."""
+    if additions is not None:
+        additions.withColumn("batch", F.lit(uuid.uuid4().hex)).write.mode("append").partitionBy("tokenizer", "batch").parquet(cache_path)
 
 
-def append(additions: DataFrame, cache_path: str) -> None:
-    """Adds new rows to the cache table; a job run again appends nothing, as its digests are then found."""
-    additions.write.mode("append").parquet(cache_path)
+def cached_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataFrame:
+    """count_tokens' counts against the cache at cache_path, to which what it lacked is appended."""
+    counts, additions = count_tokens(docs, tokenizer_path, read_cache(docs.sparkSession, cache_path))
+    append(additions, cache_path)
+    return counts
 
 
-def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, additions = count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    append(additions, f"{Scratch(spark, 'token-cache').root}/cache")
+def op9_token_counts(spark: SparkSession, sf_dir: str, cache_path: str | None = None) -> DataFrame:
+    """The cache lies in the shared folder, for this and later runs."""
+    counts = cached_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), cache_path or f"{shared_dir(spark)}/tidewater-token-cache")
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
