@@ -1,10 +1,11 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Rows with equal texts form a group that stays together. Groups of at least one `grain`-th of a mean shard are items of
-their own; smaller groups are pooled by hash into pallets of about that size, so that the packer sees at most
-2 * shards * grain items however many rows there are. Items sorted by size enter the bin with the tightest remaining
-capacity, found in a balanced search tree; the capacity is the smallest, to within about a ten-thousandth, at which the items
-fit into the wanted number of shards. Only group sizes are shuffled, never texts."""
+Rows with equal texts form a group that stays together. Best fit looks at sizes only, so that the driver gets the
+groups' sizes with their counts (at most the square root of twice the total bytes, as that many different sizes add up to it) and
+packs each run of equal sizes at once: the bin with the tightest remaining capacity, found in a balanced search tree,
+takes as many of them as fit, then the next tightest. The result is that of packing every group on its own. The capacity is the
+smallest, to within about a ten-thousandth, at which the groups fit into the wanted number of shards. The executors then
+number the groups of a size, and a group's number says which bin has it. Only group sizes are shuffled, never texts."""
 
 from __future__ import annotations
 
@@ -13,13 +14,11 @@ import random
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, attach, read_table, small
 
 SHARDS = 40
-#: Pallets per shard, and the part of a mean shard from which a group is packed on its own.
-GRAIN = 256
-#: Sub-buckets of a shard within which slots are numbered; their counts give each bucket's first slot.
-SLOT_BUCKETS = 64
+#: Groups of one size, or rows of a shard, that a task numbers at a time, on average.
+NUMBERED = 1 << 19
 
 
 class CapacityTree:
@@ -68,84 +67,88 @@ class CapacityTree:
         return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> tuple[list[int], int]:
-    """Bin of each item, sizes in descending order, and the bins opened. An item above the capacity gets a bin alone."""
+def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most: int | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """((size, bin, number of items) in the order of packing, bins opened) of runs (size, count) in descending order of
+    size. An item above the capacity gets a bin alone. With `most`, packing stops once more bins than that are open.
+
+    A bin that is the tightest for one item is so for the next of the same size as well, as long as that fits."""
     tree, out, opened = CapacityTree(), [], 0
-    for size in sizes:
-        found = tree.take_tightest(size) if size <= capacity else None
-        if found is None:
-            found, opened = (max(capacity, size), opened), opened + 1
-        out.append(found[1])
-        if size <= capacity:
-            tree.insert(found[0] - size, found[1])
+    for size, count in runs:
+        while count:
+            found = tree.take_tightest(size) if size <= capacity else None
+            if found is None:
+                if opened == most:
+                    return out, opened + 1
+                found, opened = (max(capacity, size), opened), opened + 1
+            n = min(count, found[0] // size)
+            out.append((size, found[1], n))
+            count -= n
+            if size <= capacity:
+                tree.insert(found[0] - n * size, found[1])
     return out, opened
 
 
-def pack(sizes: list[int], bins: int) -> list[int]:
-    """Bins 0 to bins - 1 for items in descending order of size, at the smallest capacity that needs no more bins."""
-    if not sizes:
+def pack(runs: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
+    """(size, bin from 0 to bins - 1, number of items) for runs (size, count) in descending order of size, at the smallest
+    capacity tried that needs no more bins."""
+    if not runs:
         return []
-    total = sum(sizes)
     # Items above their fair share stand alone; the others share what bins are left.
-    alone, rest = 0, total
-    while alone < min(bins - 1, len(sizes)) and sizes[alone] * (bins - alone) > rest:
-        rest, alone = rest - sizes[alone], alone + 1
-    low = max(-(-rest // max(1, bins - alone)), sizes[alone] if alone < len(sizes) else 1, 1)
+    largest = [size for size, count in runs[:bins] for _ in range(min(count, bins))][:bins]
+    alone, rest = 0, sum(size * count for size, count in runs)
+    while alone < min(bins - 1, len(largest)) and largest[alone] * (bins - alone) > rest:
+        rest, alone = rest - largest[alone], alone + 1
+    low = max(-(-rest // max(1, bins - alone)), largest[alone] if alone < len(largest) else 1, 1)
     step, capacity = max(1, low // 10_000), low
     while True:
-        out, opened = best_fit_decreasing(sizes, capacity)
+        out, opened = best_fit_decreasing(runs, capacity, bins)
         if opened <= bins:
             return out
-        capacity, step = capacity + step, step * 2 if opened > bins + 1 else step
+        capacity, step = capacity + step, step * 2 if capacity > low + 20 * step else step
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns doc_id, size, text_crc32, shard and slot of every row of docs.
 
     size is the text's UTF-8 bytes plus 16. A null text has no bytes and no CRC but 0, and all null texts are one group;
-    an empty text is another. Repeated rows (also repeated or null ids) are rows of their own, each with a slot. Ties
-    go by hash. Other columns are ignored. Slots of a shard run from 0 without gaps, in the order of bucket and id.
-    An empty table gives an empty result."""
+    an empty text is another. Repeated rows (also repeated or null ids) are rows of their own, each with a slot. Groups of
+    one size are told apart by their texts' digests. Other columns are ignored. Slots of a shard run from 0 without gaps,
+    in the order of a hash of the id, then of id and CRC. An empty table gives an empty result."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "shard")
-    key = F.when(F.col(text_col).isNull(), F.lit("null")).otherwise(F.md5(F.col(text_col).cast("binary")))
+    key = F.when(F.col(text_col).isNull(), F.lit(b"")).otherwise(F.unhex(F.md5(F.col(text_col).cast("binary"))))
     rows = scratch.keep(docs.select(
         F.col(id_col).alias("doc_id"),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 16).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         key.alias("g"),
     ), "rows")
-    groups = scratch.keep(rows.groupBy("g").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    bar = max(1, total // (shards * grain))
-    pallet = F.pmod(F.xxhash64("g"), F.lit(shards * grain)).cast("long")
-    # At most shards * grain groups reach the bar, and there are as many pallets: both sides are bounded.
-    large = groups.where(F.col("bytes") >= bar).select("g", F.lit(-1).cast("long").alias("p"), "bytes")
-    pooled = groups.where(F.col("bytes") < bar).groupBy(pallet.alias("p")).agg(F.sum("bytes").alias("bytes"))
-    items = large.unionByName(pooled.select(F.lit(None).cast("string").alias("g"), "p", "bytes")).toPandas()
-    items = items.sort_values(["bytes", "g", "p"], ascending=[False, True, True], kind="stable", ignore_index=True)
-    items["shard"] = pd.Series(pack([int(x) for x in items["bytes"]], shards), dtype="int32")
-    of_group = spark.createDataFrame(
-        [(g, int(s)) for g, s, p in zip(items["g"], items["shard"], items["p"]) if p < 0], "g string, own int")
-    of_pallet = spark.createDataFrame(
-        [(int(p), int(s)) for s, p in zip(items["shard"], items["p"]) if p >= 0], "p long, pooled int")
-    dealt = (
-        rows.withColumn("p", pallet)
-        .join(F.broadcast(of_group), "g", "left")
-        .join(F.broadcast(of_pallet), "p", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("own", "pooled").alias("shard"),
-                F.pmod(F.xxhash64("doc_id"), F.lit(SLOT_BUCKETS)).cast("int").alias("b"))
-    )
-    dealt = scratch.keep(dealt, "dealt")
-    scratch.drop(rows, groups)
-    counts = dealt.groupBy("shard", "b").agg(F.count("*").alias("n"))  # shards * SLOT_BUCKETS rows at most
+    groups = scratch.keep(rows.groupBy("g").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("c"), F.sum("n").alias("n")).orderBy(F.desc("bytes")).toPandas()
+    n_groups, n_rows = int(sizes["c"].sum()), int(sizes["n"].sum())
+    packed = pd.DataFrame(pack(list(zip(sizes["bytes"].tolist(), sizes["c"].tolist())), shards), columns=["bytes", "shard", "k"], dtype="int64")
+    # Of a size's groups, numbered from 0, those below the first end go to the first bin, and so on.
+    packed["end"] = packed.groupby("bytes")["k"].cumsum()
+    ends = packed.groupby("bytes", sort=False).agg(ends=("end", list), shards=("shard", list)).reset_index()
+    dealt_to = spark.createDataFrame(ends, "bytes long, ends array<long>, shards array<int>") if len(ends) else spark.createDataFrame([], "bytes long, ends array<long>, shards array<int>")
+    parts = max(1, -(-int(sizes["c"].max() or 0) // NUMBERED)) if len(sizes) else 1
+    numbered = groups.withColumn("b", F.pmod(F.xxhash64("g"), F.lit(parts)).cast("int"))
+    first = numbered.groupBy("bytes", "b").agg(F.count("*").alias("c"))
+    first = first.select("bytes", "b", (F.sum("c").over(W.partitionBy("bytes").orderBy("b")) - F.col("c")).alias("first")).join(small(dealt_to, len(ends)), "bytes")
+    at = F.row_number().over(W.partitionBy("bytes", "b").orderBy("g"))
+    numbered = numbered.withColumn("at", at).join(small(first, len(ends) * parts, 100_000), ["bytes", "b"])
+    rank = F.col("first") + F.col("at") - 1
+    own = F.get("shards", F.size(F.filter("ends", lambda e: e <= rank)))
+    of_group = scratch.keep(numbered.select("g", "n", own.alias("shard")), "packed")
+    dealt = scratch.keep(attach(rows, of_group, ["g"], n_groups, n_rows, 50_000).drop("g"), "dealt")
+    scratch.drop(rows, groups, of_group)
+    parts = max(64, -(-n_rows // (shards * NUMBERED)))
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int"))
+    counts = dealt.groupBy("shard", "b").agg(F.count("*").alias("n"))
     before = counts.withColumn("first", F.sum("n").over(W.partitionBy("shard").orderBy("b")) - F.col("n")).drop("n")
-    numbered = F.row_number().over(W.partitionBy("shard", "b").orderBy("doc_id", "text_crc32")).cast("long")
-    return (
-        dealt.withColumn("at", numbered)
-        .join(F.broadcast(before), ["shard", "b"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
-    )
+    slot = F.row_number().over(W.partitionBy("shard", "b").orderBy("doc_id", "text_crc32")).cast("long")
+    return dealt.withColumn("at", slot).join(small(before, shards * parts), ["shard", "b"]).select(
+        "doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("at") - 1).alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
