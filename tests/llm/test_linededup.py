@@ -1,6 +1,8 @@
 import random
 
-from tidewater.llm import linededup as L
+from pyspark.sql import functions as F
+
+from tidewater.llm import common, linededup as L
 
 
 def brute(rows, least):
@@ -32,9 +34,22 @@ def test_against_brute_force(spark):
         assert got == brute(rows, least), least
 
 
+def test_beyond_the_lists(spark, monkeypatch):
+    """With lists too long to send: hot lines by broadcast, the others by shuffle."""
+    monkeypatch.setattr(L, "LISTED", 0)
+    monkeypatch.setattr(common, "HEAVY", 8)
+    rows = [(d, f"s{d % 12}", "\n".join(["hot"] * (d % 3 == 0) + [f"line {d % 40}", f"own {d}"])) for d in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept) for r in L.dedup_lines(df, 3).collect()}
+    assert got == brute(rows, 3)
+
+
 def test_odd_rows(spark, odd):
-    df = odd.selectExpr("*", "cast(null as string) source", "1 site", "2 k1")
+    df = odd.selectExpr("*", "cast(null as string) source")
     got = L.dedup_lines(df, 2).collect()
     assert len(got) == odd.count() and all(r.n_removed == 0 for r in got)
     assert {(r.n_lines, r.kept) for r in got if r.doc_id in (1, 9)} == {(0, "")}
     assert L.dedup_lines(df.limit(0)).count() == 0
+    kept = L.without_boilerplate(df.withColumn("source", F.expr("cast(doc_id as string)")).withColumn("n_chars", F.lit(1)), 2)
+    assert kept.columns == [*df.columns, "n_chars"] and kept.where("gone = 'x' and gone_id <=> doc_id").count() == odd.count()
+    assert L.without_boilerplate(df.limit(0)).count() == 0

@@ -1,16 +1,18 @@
 """Line dedup by distinct-site spread.
 
-Lines that stand on many sites are boilerplate. Lines are known by two 64-bit hashes; those of one site only fall out in
-a plain aggregation. For the others HyperLogLog sketches of their sites are built per line and merged by aggregation.
-An estimate well above or below the threshold decides; lines near it get an exact distinct count. Every occurrence of a
-boilerplate line but the first in the corpus is removed. Everything runs in DataFrame functions; hot lines are
-aggregated before they are shuffled."""
+Lines that stand on many sites are boilerplate. Lines are known by two 64-bit hashes. One aggregation gives a row for
+each line and site; which lines are boilerplate is found from that table, so that a line that a third of all documents
+hold has no more rows than there are sites. Lines of one site fall out by a plain minimum and
+maximum. For the others HyperLogLog sketches of their sites are built and merged by aggregation. An estimate well above
+or below the threshold decides; lines near it get an exact distinct count. Every occurrence of a boilerplate line but the
+first in the corpus is removed. Lines that many documents hold are joined by broadcast, the others by shuffle. Everything
+runs in DataFrame functions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, read_table, small
+from .common import Scratch, attach, by_place, read_table
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
@@ -22,6 +24,8 @@ NEAR = 1.25
 SPACE = " \t\r\x0b\x0c"
 
 KEY = ["k1", "k2"]
+#: Keys up to which a list is sent to all tasks; of longer ones only the heavy keys are.
+LISTED = 200_000
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -32,29 +36,39 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int = MIN_SITES) -> DataFrame:
-    """(k1, k2): keys of the lines of docs (doc_id, site, text) on min_sites sites or more."""
-    lines = _lines(docs)
-    spread = lines.groupBy(*KEY).agg(F.min("site").alias("low"), F.max("site").alias("high")).where("low <> high").select(*KEY)
-    spread = scratch.keep(spread, "spread")
-    shared = lines.select(*KEY, "site").join(small(spread, spread.count(), 200_000), KEY)
+    """(k1, k2, n): keys of the lines of docs (doc_id, site, text) on min_sites sites or more, and their occurrences."""
+    spots = scratch.keep(_lines(docs).groupBy(*KEY, "site").agg(F.count("*").alias("n")), "spots")
+    spread = spots.groupBy(*KEY).agg(F.min("site").alias("low"), F.max("site").alias("high"), F.sum("n").alias("n"), F.count("*").alias("rows"))
+    spread = scratch.keep(spread.where("low <> high").select(*KEY, "n", "rows"), "spread")
+    shared = attach(spots.select(*KEY, "site"), spread.select(*KEY, F.col("rows").alias("n")), KEY, *_size(spread, "rows"), LISTED)
     # A row per line, site and task at most goes on to the sketches.
     sketched = shared.groupBy(*KEY).agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    judged = scratch.keep(sketched.select(*KEY, F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") * NEAR >= min_sites), "sketched")
-    sure = judged.where(F.col("sites") >= min_sites * NEAR).select(*KEY)
-    near = judged.where(F.col("sites") < min_sites * NEAR).select(*KEY)
-    counted = lines.select(*KEY, "site").join(small(near, near.count(), 200_000), KEY).groupBy(*KEY, "site").count().groupBy(*KEY).count()
-    return scratch.keep(sure.unionByName(counted.where(F.col("count") >= min_sites).select(*KEY)), "boilerplate")
+    judged = sketched.select(*KEY, F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") * NEAR >= min_sites).join(spread, KEY)
+    judged = scratch.keep(judged, "sketched")
+    near = judged.where(F.col("sites") < min_sites * NEAR).select(*KEY, F.col("rows").alias("n"))
+    counted = attach(spots.select(*KEY, "site"), near, KEY, *_size(near, "n"), LISTED).groupBy(*KEY).agg(F.count("*").alias("exact"))
+    known = judged.join(counted, KEY, "left").where((F.col("sites") >= min_sites * NEAR) | (F.col("exact") >= min_sites)).select(*KEY, "n")
+    out = scratch.keep(known, "boilerplate")
+    scratch.drop(spots, spread, judged)
+    return out
+
+
+def _size(keys: DataFrame, n: str) -> tuple[int, int]:
+    """Keys, and rows that have one."""
+    return tuple(keys.agg(F.count("*"), F.coalesce(F.sum(n), F.lit(0))).first())
 
 
 def _removals(docs: DataFrame, min_sites: int) -> DataFrame:
     """(gone_id, gone): for each document that loses lines the places of those, from 0; docs: (doc_id, site, text)."""
     scratch = Scratch(docs.sparkSession, "lines")
     keys = boilerplate(docs, scratch, min_sites)
-    hits = scratch.keep(_lines(docs).select(*KEY, "doc_id", "at").join(small(keys, keys.count(), 200_000), KEY), "hits")
-    first = scratch.keep(hits.groupBy(*KEY).agg(F.min(F.struct("doc_id", "at")).alias("first")), "first")
+    size = _size(keys, "n")
+    hits = scratch.keep(attach(_lines(docs).select(*KEY, "doc_id", "at"), keys, KEY, *size, LISTED), "hits")
+    first = hits.groupBy(*KEY).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
     # Equality of structs that may hold a null id.
     later = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at")))
-    return hits.join(first, KEY).where(later).groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("at").alias("gone"))
+    gone = attach(hits, scratch.keep(first, "first"), KEY, *size, LISTED).where(later)
+    return gone.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_set("at").alias("gone"))
 
 
 def _kept(text_col: str):
@@ -76,13 +90,16 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """docs (doc_id, source, text and any columns but gone and gone_id) with the lines left as text, and n_chars, if it
-    is there, as their length; null texts stay null."""
-    gone = _removals(docs.select("doc_id", F.col("source").cast("string").alias("site"), "text"), min_sites)
-    met = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left").withColumn("text", _kept("text"))
-    if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.when(F.col("gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return met.select(*docs.columns)
+    """docs (doc_id, source, text and any other columns) with the lines left as text, and n_chars, if it is there, as
+    their length; null texts stay null, as do the other columns and all rows. See dedup_lines for what a line is."""
+    plain, name = by_place(docs)
+    doc_id, site, text = (F.col(name(c)) for c in ("doc_id", "source", "text"))
+    gone = _removals(plain.select(doc_id.alias("doc_id"), site.cast("string").alias("site"), text.alias("text")), min_sites)
+    met = plain.join(gone, doc_id.eqNullSafe(F.col("gone_id")), "left").withColumn(name("text"), _kept(name("text")))
+    if "n_chars" in [c.lower() for c in docs.columns]:
+        own = name("n_chars")
+        met = met.withColumn(own, F.when(F.col("gone").isNull(), F.col(own)).otherwise(F.length(name("text"))).cast(dict(plain.dtypes)[own]))
+    return met.select(*plain.columns).toDF(*docs.columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
