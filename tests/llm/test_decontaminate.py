@@ -21,6 +21,21 @@ def brute(docs, items, window=10):
     return found
 
 
+def longest(doc, items, window=10):
+    """(words, first, item) of the longest run of at least a window that an item and the document share."""
+    best, dw = [], D.words(doc)
+    for i, t in items:
+        w = D.words(t)
+        for a in range(len(dw)):
+            for b in range(len(w)):
+                n = 0
+                while a + n < len(dw) and b + n < len(w) and dw[a + n] == w[b + n]:
+                    n += 1
+                if n and n >= min(window, len(w)):
+                    best.append((-n, a, str(i)))
+    return (-min(best)[0], *min(best)[1:]) if best else None
+
+
 def cases(seed):
     rng = random.Random(seed)
     vocab = [f"v{i}".encode() for i in range(6)]
@@ -41,6 +56,7 @@ def test_against_brute_force(spark, monkeypatch):
             hit, own = want.get(r.doc_id, (set(), set()))
             assert r.items == sorted(own)
             assert {k for x in r.hits for k in range(x.first, x.first + x.words)} == hit
+            assert (tuple(r.longest) if r.longest else None) == longest(docs[r.doc_id], items)
         assert D.decontaminate(df, bench).count() == len(docs) - len(want)
 
 
@@ -59,3 +75,6 @@ def test_odd_rows(spark, odd):
     hit = D.contamination(odd, bench).where("size(hits) > 0").collect()
     assert sorted(r.doc_id for r in hit) == [3, 4] and hit[0]["items"] == ["3"]
     assert D.contamination(odd.limit(0), bench).count() == 0
+    assert hit[0].n_words == 1 and hit[0].longest == (1, 0, "3") and hit[0].gone == "x"
+    assert D.decontaminate(odd, bench).columns == odd.columns and D.decontaminate(odd.limit(0), bench).count() == 0
+    assert sorted((r.n_words, r.score) for r in D.decontaminate(odd, bench).collect()) == sorted((r.n_words, r.score) for r in odd.where("doc_id is null or doc_id not in (3, 4)").collect())

@@ -4,7 +4,8 @@ Every Arrow batch of documents is a shard. The task builds the shard's suffix ar
 suffix of the benchmark items in it, and so gets each suffix's longest verbatim match and its locations. Words that no
 item uses cannot lie in a match: they end the runs of words that the array is built over, and a run too short to hold
 a window is left out. Documents need no shuffle: each batch holds whole documents. The benchmark is read in blocks of
-at most BLOCK_BYTES, each sent to all tasks; further blocks are further passes over the same rows."""
+at most BLOCK_BYTES, each sent to all tasks and released before the next; further blocks are further passes over the
+same rows, each written to the shared folder."""
 
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Scratch, pieces, read_table, texts
+from .common import Scratch, by_place, pieces, read_table, texts
 
 WINDOW = 10
 #: Most bytes of benchmark text that one pass sends to every task.
@@ -112,7 +113,7 @@ class Items:
                     offset += [np.arange(b, e + 1)]
         if not codes:
             none = np.empty(0, np.int64)
-            return counts, (none,) * 4, (none,) * 4
+            return counts, (none,) * 4, (none,) * 5
         codes, owner, offset = np.concatenate(codes), np.concatenate(owner), np.concatenate(offset)
         order = suffix_array(codes, self.longest)
         codes = np.concatenate([codes, np.zeros(self.longest + 1, np.int32)])
@@ -129,49 +130,70 @@ class Items:
         n = last - first
         at = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         own = np.repeat(own, n)
-        return counts, longest_matches, (owner[at], self.item[own], offset[at], self.need[own])
+        return counts, longest_matches, (owner[at], self.item[own], offset[at], self.need[own], self.start[own])
+
+
+def longest_runs(doc, item, first, size, place) -> dict[int, tuple[int, int, int, int]]:
+    """doc -> (words, first word, item, item's word in seq) of its longest verbatim match: occurrences of windows that
+    follow one another in both texts are one match; ties go to the earlier word, then the earlier item."""
+    order = np.lexsort((first, first - place, item, doc))
+    doc, item, first, size, place = (x[order] for x in (doc, item, first, size, place))
+    new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(item) != 0) | (np.diff(first - place) != 0) | (np.diff(first) != 1))) if len(doc) else np.empty(0, bool)
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(doc)) - 1 if len(doc) else begin
+    words = first[end] + size[end] - first[begin]
+    out = {}
+    for d, n, f, i, p in sorted(zip(doc[begin].tolist(), (-words).tolist(), first[begin].tolist(), item[begin].tolist(), place[begin].tolist())):
+        out.setdefault(d, (-n, f, i, p))
+    return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[str, bytes]]]:
-    """The items by block; a streaming read, so that the driver holds the blocks' texts and no more."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, bytes]]]:
+    """The items by block (one empty block, if there are none); a streaming read, so that the driver holds one block's texts."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).where("t is not null")
-    blocks, room = [[]], BLOCK_BYTES
+    block, room = [], BLOCK_BYTES
     for r in rows.orderBy("i", "t").toLocalIterator():
-        if len(r.t) > room and blocks[-1]:
-            blocks.append([])
-            room = BLOCK_BYTES
-        blocks[-1].append((r.i if r.i is not None else "", bytes(r.t)))
+        if len(r.t) > room and block:
+            yield block
+            block, room = [], BLOCK_BYTES
+        block.append((r.i if r.i is not None else "", bytes(r.t)))
         room -= len(r.t)
-    return blocks
+    yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs with n_words int, hits array<struct<first, words>> (merged runs of words that windows of items cover) and
-    items array<string> (sorted ids of items of which a window occurs).
+_RUNS = "array<struct<first: long, words: long>>"
+_LONGEST = "struct<words: long, first: long, item: string>"
 
-    A window is `window` consecutive words of an item, or the whole of a shorter one. Null and empty texts have no words
-    and no hits; an item without words, or an empty benchmark, hits nothing. Repeated rows are judged alike, each for
-    itself; repeated item ids count once. A null item id counts as ''. All columns of docs stay, in their order; docs
-    must not have columns n_words, hits or items itself."""
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """docs (columns c0, c1, ...) with n_words, hits, items and longest."""
     spark = docs.sparkSession
     runs = pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64())]))
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    out = docs.select("*", F.lit(0).cast("long").alias("n_words"),
-                      F.expr("cast(array() as array<struct<first: long, words: long>>)").alias("hits"),
-                      F.expr("cast(array() as array<string>)").alias("items"))
+    longest = pa.struct([("words", pa.int64()), ("first", pa.int64()), ("item", pa.string())])
+    schema = "".join(f"{n} {t}, " for n, t in docs.dtypes) + f"n_words long, hits {_RUNS}, items array<string>, longest {_LONGEST}"
+    out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as {_RUNS})").alias("hits"),
+                      F.expr("cast(array() as array<string>)").alias("items"), F.expr(f"cast(null as {_LONGEST})").alias("longest"))
+    scratch, kept, sent = Scratch(spark, "decontaminate"), None, None
     for block in _blocks(benchmark, item_col, item_text_col):
+        if sent is not None:
+            # One block at a time: what the last one found is written before it is released.
+            written = scratch.keep(out, "found")
+            sent.destroy()
+            scratch.drop(kept)
+            out = kept = written
         sent = spark.sparkContext.broadcast(Items(block, window))
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in pieces(batches):
-                counts, _, (doc, item, first, size) = sent.value.search(texts(batch[text_col]))
-                old_hits, old_items = batch["hits"], batch["items"]
+                counts, _, (doc, item, first, size, place) = sent.value.search(texts(batch[text_col]))
+                ids = sent.value.ids
+                old_hits, old_items, old_best = batch["hits"], batch["items"], batch["longest"]
+                best = {d: {"words": n, "first": f, "item": ids[i]} for d, (n, f, i, _) in longest_runs(doc, item, first, size, place).items()}
                 hits, items = [[] for _ in counts], [set() for _ in counts]
-                for d, i, f, n in zip(doc.tolist(), sent.value.ids[item].tolist(), first.tolist(), size.tolist()):
+                for d, i, f, n in zip(doc.tolist(), ids[item].tolist(), first.tolist(), size.tolist()):
                     hits[d].append((f, f + n))
                     items[d].add(i)
-                merged, names = [], []
+                merged, names, most = [], [], []
                 for d, own in enumerate(hits):
                     own += [(x["first"], x["first"] + x["words"]) for x in old_hits[d].as_py()] if len(old_hits[d]) else []
                     union: list[list[int]] = []
@@ -182,15 +204,35 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, t
                             union.append([b, e])
                     merged.append([{"first": b, "words": e - b} for b, e in union])
                     names.append(sorted(items[d] | set(old_items[d].as_py())))
-                kept = [c for c in batch.schema.names if c not in ("n_words", "hits", "items")]
+                    both = [x for x in (old_best[d].as_py(), best.get(d)) if x]
+                    most.append(min(both, key=lambda x: (-x["words"], x["first"], x["item"]), default=None))
+                kept = [c for c in batch.schema.names if c not in ("n_words", "hits", "items", "longest")]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[c] for c in kept), pa.array(counts, pa.int64()), pa.array(merged, runs), pa.array(names, pa.list_(pa.string()))],
-                    names=[*kept, "n_words", "hits", "items"])
+                    [*(batch[c] for c in kept), pa.array(counts, pa.int64()), pa.array(merged, runs), pa.array(names, pa.list_(pa.string())), pa.array(most, longest)],
+                    names=[*kept, "n_words", "hits", "items", "longest"])
 
-        out = out.mapInArrow(scan, f"{schema}, n_words long, hits array<struct<first: long, words: long>>, items array<string>")
+        out = out.mapInArrow(scan, schema)
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text",
+                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs with n_words int, hits array<struct<first, words>> (merged runs of words that windows of items cover), items
+    array<string> (sorted ids of items of which a window occurs) and longest struct<words, first, item> (the longest
+    verbatim match of a window or more, its first word and its item; ties go to the earlier word, then the smaller item
+    id; null without hits).
+
+    A window is `window` consecutive words of an item, or the whole of a shorter one. Null and empty texts have no words
+    and no hits; an item without words, or an empty benchmark, hits nothing. Repeated rows are judged alike, each for
+    itself; repeated item ids count once. A null item id counts as ''. All columns of docs stay, in their order, but for
+    columns of the four new names, which the new ones replace."""
+    plain, name = by_place(docs)
+    new = ("n_words", "hits", "items", "longest")
+    stay = [i for i, c in enumerate(docs.columns) if c.lower() not in new]
+    out = _found(plain, benchmark, window, name(text_col), item_col, item_text_col)
+    return out.select(*(f"c{i}" for i in stay), *new).toDF(*(docs.columns[i] for i in stay), *new)
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
     """For each shard and item suffix the longest verbatim match of `least` words or more: item_id, item_offset,
     match_words, doc_id, doc_offset. Offsets count words. Null texts have no words; ties go to the earlier suffix in
@@ -219,8 +261,12 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, least: int = WINDOW,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs in which no window of an item occurs, with the columns of docs."""
-    return contamination(docs, benchmark, window).where(F.size("hits") == 0).select(*docs.columns)
+    """The rows of docs in which no window of an item occurs, with the columns of docs, whatever their names.
+
+    Rows with a null or empty text stay, as do all rows if the benchmark is empty; repeated rows stay or go together."""
+    plain, name = by_place(docs)
+    found = _found(plain, benchmark, window, name("text"), "item_id", "text")
+    return found.where(F.size("hits") == 0).select(*plain.columns).toDF(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +274,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(docs, read_table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+                        F.coalesce("longest.words", F.lit(0)).alias("longest_words"), F.col("longest.first").alias("longest_first"), F.col("longest.item").alias("longest_item"))
 
 
 ORACLE = r"""
@@ -240,18 +287,23 @@ items AS (
   SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
            '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE text IS NOT NULL),
 windows AS (
-  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, i AS j, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS s
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM windows),
 places AS (
   SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, item_id, i, p.n FROM places p JOIN windows USING (n, s)),
+hits AS (SELECT doc_id, item_id, i, j, p.n FROM places p JOIN windows USING (n, s)),
+matches AS (
+  SELECT doc_id, CAST(item_id AS VARCHAR) AS item, min(i) - 1 AS f, max(i) - min(i) + n AS m
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, n, i - j ORDER BY i) AS g FROM hits) GROUP BY doc_id, item_id, n, i - j, g),
+longest AS (SELECT doc_id, item, f, m FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, f, item) AS r FROM matches) WHERE r = 1),
 hit_words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hits) GROUP BY doc_id),
 hit_items AS (
   SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(m, 0) AS BIGINT) AS longest_words, CAST(f AS BIGINT) AS longest_first, item AS longest_item
+FROM docs LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
