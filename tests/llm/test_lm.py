@@ -60,7 +60,7 @@ def brute(rows):
         tokens = [*(text or "").encode().lower().split(), b""]
         base = sum(math.log10((words[w] + 0.1) / (n + 0.1 * (len(words) + 1))) for w in tokens)
         own = sum(math.log10(p if (p := probability(*x)) is not None else 0.5) for x in decisions(text or ""))
-        out.append((doc_id, len(tokens), sum(w in words for w in tokens), n, pytest.approx(base), pytest.approx(own, rel=1e-5)))
+        out.append((doc_id, len(tokens), sum(w in words for w in tokens), n, pytest.approx(base), pytest.approx(own, rel=1e-8)))
     return out
 
 
@@ -74,6 +74,34 @@ def test_against_brute_force(spark, monkeypatch, model, head):
     assert {r.held_out for r in got} == {True, False}
 
 
+def test_both_ways_give_the_same_digits(spark, docs, monkeypatch):
+    """A gram table that is sent, and one that is joined; chunks of a few grams and of many."""
+    sent = sorted((r.doc_id, r.score) for r in lm.score(docs).collect())
+    monkeypatch.setattr(lm, "MODEL_ROWS", 0)
+    monkeypatch.setattr(lm, "BATCH", 1 << 14)
+    assert sorted((r.doc_id, r.score) for r in lm.score(docs).collect()) == sent
+
+
+def test_chunks_hold_whole_groups_and_their_nodes():
+    """Groups of four context bytes are never cut, each chunk has its nodes, and no more than a group is held over."""
+    rng = np.random.default_rng(1)
+    c = np.repeat(np.sort(rng.integers(0, 40, 9)), 300)
+    key = np.sort(np.unique((rng.integers(0, 3, len(c)) << 32 | c << 8 | rng.integers(0, 256, len(c))).astype(np.uint64)))
+    key = key[np.lexsort((key, key >> np.uint64(8) & np.uint64(0xFFFFFFFF), key >> np.uint64(8) & np.uint64(0xFFFFFF)))]
+    batch = lambda k, node: lm.pa.RecordBatch.from_pydict({"key": k.view(np.int64), "n": np.ones(len(k), np.int64), "node": lm.pa.array([node] * len(k), lm.pa.int64()),
+                                                           **{x: np.ones(len(k)) for x in lm.Nodes.columns}})
+    stream = []
+    for x in np.unique(key >> np.uint64(8) & np.uint64(0xFFFFFF)):
+        stream.append(batch(np.array([int(x) << 8 | 1], np.uint64), 1))
+        own = key[key >> np.uint64(8) & np.uint64(0xFFFFFF) == x]
+        stream += [batch(own[i : i + 70], None) for i in range(0, len(own), 70)]
+    got = list(lm._chunks(iter(stream), 100))
+    assert (np.concatenate([k for _, k, _ in got]) == key).all() and len(got) > 5
+    groups = [set((k >> np.uint64(8)).tolist()) for _, k, _ in got]
+    assert sum(map(len, groups)) == len(set().union(*groups))
+    assert all(set((k >> np.uint64(8) & np.uint64(0xFFFFFF)).tolist()) <= set((t.keys >> 8).tolist()) for t, k, _ in got)
+
+
 def test_lookup():
     rng = np.random.default_rng(3)
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))

@@ -6,10 +6,13 @@ Krichevsky-Trofimov estimate of its decisions in the training texts, and the wei
 The trained tree is then fixed: a decision's probability is the mixture down its path, as far as training has visited it.
 
 Jobs: (1) count the grams of DEPTH + 1 bytes over all documents, with the training texts' counts, and the training
-texts' words; (2) weigh the tree from the leaves: subtrees below the two latest bytes lie in one partition, the levels
-above are sums of at most 256 * 255 rows; (3) give each gram its log probability; (4) sum over documents. Step 4 sends
-the gram table to the tasks if it has at most MODEL_ROWS rows, and joins it by gram otherwise. Frequent words' counts
-are sent likewise, up to HEAD_WORDS; the rest are joined."""
+texts' words; (2) weigh the tree from the leaves: tasks weigh the subtrees below the four latest bytes, at most 2 ** 16
+grams at a time, and the levels above are keyed sums; (3) give each gram its log probability: what the levels above the
+third make of a probability is one scale and one offset per node of the third, which goes along with that node; (4) sum
+over documents. Step 4 sends the gram table to the tasks if it has at most MODEL_ROWS rows. Otherwise each batch of
+documents names the distinct grams it holds, those are joined, and what is found meets the batch's texts again: a gram
+is moved once for a batch, not for each of its bytes. Both ways sum the same numbers in the same order. Frequent words'
+counts are sent likewise, up to HEAD_WORDS; the rest are joined."""
 
 from __future__ import annotations
 
@@ -26,8 +29,10 @@ from xxhash import xxh3_64_intdigest
 from .common import Scratch, WordHashes, pieces, read_table, signed, texts
 
 DEPTH = 5
-#: Rows of the gram table up to which it is sent to the tasks (12 bytes each).
-MODEL_ROWS = 6_000_000
+#: Rows of the gram table up to which it is sent to the tasks (some 50 bytes each in a worker's memory).
+MODEL_ROWS = 3_000_000
+#: Bytes of text in a batch that joins its grams.
+BATCH = 8 << 20
 #: Words whose counts are sent to the tasks.
 HEAD_WORDS = 1_000_000
 END = b"\xff"
@@ -139,11 +144,18 @@ class Level:
         own = log_kt(zeros, ones)
         self.weighted = own if below is None else np.logaddexp(HALF + own, HALF + below)
         #: Weight of the node's own estimate against the deeper ones.
-        self.stop = np.ones(len(keys)) if below is None else np.exp(HALF + own - self.weighted)
+        self.stop = np.ones(len(own)) if below is None else np.exp(HALF + own - self.weighted)
 
-    def up(self, keys, of_context) -> tuple[np.ndarray, ...]:
-        k, at = np.unique(of_context, return_inverse=True)
-        return k, np.bincount(at, self.zeros, len(k)), np.bincount(at, self.ones, len(k)), np.bincount(at, self.weighted, len(k))
+
+class Nodes:
+    """The third level's nodes that a chunk needs, with what the levels above make of their probabilities: scale * p plus
+    an offset for the bits 0 and 1."""
+
+    columns = ("zeros", "ones", "stop", "scale", "offset0", "offset1")
+
+    def __init__(self, keys: np.ndarray, values: list[np.ndarray]):
+        self.keys = keys
+        self.zeros, self.ones, self.stop, self.scale, self.offset0, self.offset1 = values
 
 
 def _decisions(key: np.ndarray):
@@ -153,7 +165,7 @@ def _decisions(key: np.ndarray):
     return (1 << j) | (x >> (8 - j)), (x >> (7 - j)) & 1
 
 
-def _subtree(key: np.ndarray, n: np.ndarray, least: int = 2):
+def _subtree(key: np.ndarray, n: np.ndarray, least: int = 4):
     """Levels DEPTH down to `least` over the grams, and each decision's node per level."""
     node, bit = _decisions(key)
     context = (key >> np.uint64(8)).astype(np.int64)[:, None]
@@ -182,66 +194,128 @@ def _mixed(predicted, visited, level: Level, at, bit):
     return np.where(visited, stop * own + (1 - stop) * predicted, own), a + b > 0
 
 
-def _by_group(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, n) of whole groups of grams with the same two latest context bytes, some `most` grams at a time."""
-    held_k, held_n = np.empty(0, np.uint64), np.empty(0, np.int64)
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[Nodes | None, np.ndarray, np.ndarray]]:
+    """(nodes, key, n): whole groups of grams with the same four latest context bytes, some `most` grams at a time, and the
+    nodes that came before them (rows with a node; there are none in the first pass)."""
+    keys, ns, held, tops = [], [], 0, None
     for batch in batches:
-        held_k = np.concatenate([held_k, batch["key"].to_numpy().view(np.uint64)])
-        held_n = np.concatenate([held_n, batch["n"].to_numpy()])
-        if len(held_k) > most:
-            group = held_k >> np.uint64(8) & np.uint64(0xFFFF)
-            cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
+        key, n = batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy()
+        if "node" in batch.schema.names:
+            gram = batch["node"].is_null().to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(~gram)
+            if len(own):
+                more = [key[own].astype(np.int64), *(batch[c].to_numpy(zero_copy_only=False)[own] for c in Nodes.columns)]
+                tops = more if tops is None else [np.concatenate(x) for x in zip(tops, more)]
+            key, n = key[gram], n[gram]
+        if not len(key):
+            continue
+        keys.append(key)
+        ns.append(n)
+        held += len(key)
+        if held > most:
+            key, n = np.concatenate(keys), np.concatenate(ns)
+            group = key >> np.uint64(8) & np.uint64(0xFFFFFFFF)
+            cut = np.flatnonzero(group != group[-1])
+            cut = int(cut[-1]) + 1 if len(cut) else 0
             if cut:
-                yield held_k[:cut], held_n[:cut]
-                held_k, held_n = held_k[cut:], held_n[cut:]
-    if len(held_k):
-        yield held_k, held_n
-
-
-def weigh(counts: DataFrame) -> DataFrame:
+                yield tops and Nodes(tops[0], tops[1:]), key[:cut], n[:cut]
+                if tops is not None:
+                    # Nodes are sorted like the grams: those of earlier contexts are done with.
+                    rest = tops[0] >> 8 >= int(key[cut] >> np.uint64(8) & np.uint64(0xFFFFFF))
+                    tops = [x[rest] for x in tops]
+            keys, ns, held = [key[cut:]], [n[cut:]], len(key) - cut
+    if held:
+        yield tops and Nodes(tops[0], tops[1:]), np.concatenate(keys), np.concatenate(ns)
+
+
+def _in_order(children: str):
+    """The sum of at most 256 children, always in the same order, so that it has the same digits in every run."""
+    return F.aggregate(F.array_sort(F.collect_list(children)), F.lit(0.0), lambda a, x: a + x)
+
+
+def _level(df: DataFrame) -> DataFrame:
+    """(c, node, zeros, ones, below) with the node's weighted probability and the weight of its own estimate."""
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            level = Level(None, b["zeros"].to_numpy(), b["ones"].to_numpy(), b["below"].to_numpy())
+            yield pa.RecordBatch.from_arrays([b["c"], b["node"], b["zeros"], b["ones"], pa.array(level.weighted), pa.array(level.stop)],
+                                             names=["c", "node", "zeros", "ones", "weighted", "stop"])
+
+    return df.select("c", "node", "zeros", "ones", "below").mapInArrow(weighted, "c long, node long, zeros double, ones double, weighted double, stop double")
+
+
+def _above(level: DataFrame, bits: int) -> DataFrame:
+    """The level above, whose contexts are the lowest `bits` bits of level's."""
+    up = level.groupBy(F.col("c").bitwiseAND(F.lit((1 << bits) - 1)).alias("c"), "node")
+    return _level(up.agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), _in_order("weighted").alias("below")))
+
+
+def _with_tail(third: DataFrame, second: DataFrame, first: DataFrame, root: DataFrame) -> DataFrame:
+    """third with scale, offset0 and offset1: a probability p of a bit at the third level is scale * p + offset at the root.
+
+    At each level it becomes stop * own + (1 - stop) * p if the node below was visited in training, else own."""
+    out = third
+    for name, level, bits in (("second", second, 16), ("first", first, 8), ("root", root, 0)):
+        total = F.col("zeros") + F.col("ones") + 1
+        part = level.select(F.col("c").alias(f"c_{name}"), F.col("node").alias(f"node_{name}"), F.col("stop").alias(f"stop_{name}"),
+                            ((F.col("zeros") + 0.5) / total).alias(f"own0_{name}"), ((F.col("ones") + 0.5) / total).alias(f"own1_{name}"), (total > 1).alias(f"met_{name}"))
+        # The first level and the root have at most 256 * 255 nodes.
+        part = part if name == "second" else F.broadcast(part)
+        out = out.join(part, (F.col("c").bitwiseAND(F.lit((1 << bits) - 1)) == F.col(f"c_{name}")) & (F.col("node") == F.col(f"node_{name}")))
+    scale, offset, met = F.lit(1.0), [F.lit(0.0), F.lit(0.0)], F.col("zeros") + F.col("ones") > 0
+    for name in ("second", "first", "root"):
+        stop = F.col(f"stop_{name}")
+        keep = F.when(met, 1 - stop).otherwise(0.0)
+        scale = scale * keep
+        offset = [keep * offset[bit] + F.when(met, stop).otherwise(1.0) * F.col(f"own{bit}_{name}") for bit in (0, 1)]
+        met = F.col(f"met_{name}")
+    return out.select("c", "node", "zeros", "ones", "stop", scale.alias("scale"), offset[0].alias("offset0"), offset[1].alias("offset1"))
+
+
+def weigh(counts: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, logp): natural log probability of each gram's latest byte after the bytes before it; counts: (key, n)."""
-    spark = counts.sparkSession
-    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    grouped = counts.withColumn("g", group).repartition("g").sortWithinPartitions("g").select("key", "n")
+    of = lambda bits: F.shiftright("key", 8).bitwiseAND(F.lit((1 << bits) - 1))
+    grams = counts.select(of(24).alias("c"), of(32).alias("c4"), "key", "n")
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, n in _by_group(batches):
+    def fourth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, key, n in _chunks(batches):
             top = _subtree(key, n)[0][-1]
-            yield pa.RecordBatch.from_arrays([pa.array(top.keys >> 8 & 255), pa.array(top.keys & 255), pa.array(top.zeros), pa.array(top.ones), pa.array(top.weighted)],
-                                             names=["c", "node", "zeros", "ones", "weighted"])
-
-    # 256 * 255 rows at most.
-    one = grouped.mapInArrow(second, "c long, node long, zeros double, ones double, weighted double").groupBy("c", "node").agg(
-        F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("weighted")).orderBy("c", "node").toPandas()
-    level1 = Level((one["c"] * 256 + one["node"]).to_numpy(np.int64), one["zeros"].to_numpy(), one["ones"].to_numpy(), one["weighted"].to_numpy())
-    k, zeros, ones, below = level1.up(None, level1.keys & 255)
-    level0 = Level(k, zeros, ones, below)
-    sent = spark.sparkContext.broadcast((level0, level1))
+            up, at = np.unique((top.keys >> 8 & 0xFFFFFF) << 8 | top.keys & 255, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(up >> 8), pa.array(up & 255), *(pa.array(np.bincount(at, x, len(up))) for x in (top.zeros, top.ones, top.weighted))],
+                                             names=["c", "node", "zeros", "ones", "below"])
+
+    # All parts of a node of the third level come from one task, in its order.
+    parts = grams.repartition("c").sortWithinPartitions("c", "c4", "key").select("key", "n").mapInArrow(fourth, "c long, node long, zeros double, ones double, below double")
+    third = scratch.keep(_level(parts.groupBy("c", "node").agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below")))), "third")
+    second = scratch.keep(_above(third, 16), "second")
+    first = scratch.keep(_above(second, 8), "first")
+    root = scratch.keep(_above(first, 0), "root")
+    nodes = _with_tail(third, second, first, root)
+    nodes = nodes.select("c", F.col("node").alias("c4"), F.col("c").bitwiseAND(F.lit(0xFFFFFF)).alias("key"), F.lit(0).cast("long").alias("n"), "node", *Nodes.columns)
+    nodes = nodes.withColumn("key", F.shiftleft("key", 8).bitwiseOR(F.col("node")))
+    rows = nodes.unionByName(grams, allowMissingColumns=True).repartition("c").sortWithinPartitions(
+        "c", F.col("node").isNull(), "c4", "key").select("key", "n", "node", *Nodes.columns)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level0, level1 = sent.value
-        for key, n in _by_group(batches):
+        for nodes, key, n in _chunks(batches):
             levels, places, bit = _subtree(key, n)
             p, visited = np.full(bit.shape, 0.5), np.zeros(bit.shape, bool)
             for level, at in zip(levels, places):
                 p, visited = _mixed(p, visited, level, at, bit)
-            node, _ = _decisions(key)
-            latest = (key >> np.uint64(8) & np.uint64(255)).astype(np.int64)[:, None]
-            p, visited = _mixed(p, visited, level1, np.searchsorted(level1.keys, latest * 256 + node), bit)
-            p, _ = _mixed(p, visited, level0, np.searchsorted(level0.keys, node), bit)
+            at = np.searchsorted(nodes.keys, (key >> np.uint64(8) & np.uint64(0xFFFFFF)).astype(np.int64)[:, None] << 8 | _decisions(key)[0])
+            p, _ = _mixed(p, visited, nodes, at, bit)
+            p = nodes.scale[at] * p + np.where(bit == 1, nodes.offset1[at], nodes.offset0[at])
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(np.log(p).sum(axis=1))], names=["key", "logp"])
 
-    return grouped.mapInArrow(scored, "key long, logp double")
+    return rows.mapInArrow(scored, "key long, logp double")
 
 
 class Lookup:
     """key -> value by open addressing; the slots are filled once in each worker."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values, self.slots = keys, values, None
-
-    def __getstate__(self):
-        return {"keys": self.keys, "values": self.values, "slots": None}
+        self.keys, self.values, self.used = keys, values, None
 
     def _fill(self) -> None:
         self.bits = max(4, (2 * len(self.keys)).bit_length())
@@ -252,25 +326,27 @@ class Lookup:
             slots[at[free]] = left[free]
             lost = slots[at] != left
             left, at = left[lost], (at[lost] + 1) & ((1 << self.bits) - 1)
-        self.slots = slots
+        self.used = slots >= 0
         self.slot_keys = np.append(self.keys, np.uint64(0))[slots]
         self.slot_values = np.append(self.values, self.values.dtype.type(0))[slots]
+        self.keys = self.values = None
 
     def _home(self, keys: np.ndarray) -> np.ndarray:
         return (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where a key isn't there), and whether it is."""
-        if self.slots is None:
+        if self.used is None:
             self._fill()
         at = self._home(keys)
-        found = (self.slot_keys[at] == keys) & (self.slots[at] >= 0)
+        used = self.used[at]
+        found = (self.slot_keys[at] == keys) & used
         values = np.where(found, self.slot_values[at], 0)
-        live = np.flatnonzero(~found & (self.slots[at] >= 0))
+        live = np.flatnonzero(~found & used)
         at = at[live]
         while len(live):
             at = (at + 1) & ((1 << self.bits) - 1)
-            there = self.slots[at] >= 0
+            there = self.used[at]
             same = there & (self.slot_keys[at] == keys[live])
             values[live[same]] = self.slot_values[at[same]]
             found[live[same]] = True
@@ -284,6 +360,29 @@ def _to_lookup(df: DataFrame, value: str, kind) -> Lookup:
     return Lookup(t["key"].to_numpy().view(np.uint64), t[value].to_numpy().astype(kind))
 
 
+def _by_document(p: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of the grams' log probabilities, in the order of the text."""
+    return np.bincount(np.repeat(np.arange(len(size)), size), p, len(size))
+
+
+def _joined(told: DataFrame, model: DataFrame) -> DataFrame:
+    """(uid, lm): the sums for batches whose grams are joined; no more than a batch's texts and grams meet in a task."""
+    found = told.select("batch", F.explode("grams").alias("key")).join(model, "key").select(F.col("batch").alias("of"), "key", "logp")
+
+    def add(docs: pa.Table, found: pa.Table) -> pa.Table:
+        keys = found["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, logp = keys[order], found["logp"].to_numpy()[order]
+        out = []
+        own = [t.as_py() for t in docs["text"]]
+        for i in range(0, len(own), 256):
+            g, size = grams(own[i : i + 256])
+            out.append(_by_document(logp[np.searchsorted(keys, g)], size))
+        return pa.table({"uid": docs["uid"], "lm": np.concatenate(out or [np.empty(0)])})
+
+    return told.select("batch", "uid", "text").groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(add, "uid long, lm double")
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability of the text and its end)
     and bits_per_byte of every row of docs.
@@ -306,13 +405,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     while power > 0 and head + rank.get(power - 1, 0) <= HEAD_WORDS:
         power, head = power - 1, head + rank.get(power - 1, 0)
     frequent = spark.sparkContext.broadcast(_to_lookup(words.where(F.col("n") >= F.lit(1 << power)) if power < 63 else words.limit(0), "n", np.int64))
-    model = scratch.keep(weigh(counts.where(F.col("kind") == GRAM).select("key", "n")), "model")
+    model = scratch.keep(weigh(counts.where(F.col("kind") == GRAM).select("key", "n"), scratch), "model")
     rows = model.count()
-    table = spark.sparkContext.broadcast(_to_lookup(model, "logp", np.float32)) if rows <= MODEL_ROWS else None
+    table = spark.sparkContext.broadcast(_to_lookup(model, "logp", np.float64)) if rows <= MODEL_ROWS else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, uid = WordHashes(), TaskContext.get().partitionId() << 40
-        for batch in pieces(batches, 4 << 20):
+        for batch in pieces(batches, BATCH if table is None else 4 << 20):
             n = batch.num_rows
             lower = [t.lower() for t in texts(batch["text"])]
             of = [np.append(memo.of(t.split()), np.uint64(END_WORD)) for t in lower]
@@ -326,28 +425,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             rare_ends = np.searchsorted(rare, ends).astype(np.int32)
             if table is not None:
                 keys, size = grams(lower)
-                p = table.value.get(keys)[0]
-                lm, gram_list = np.bincount(np.repeat(np.arange(n), size), p, n), pa.nulls(n, pa.list_(pa.int64()))
+                lm, text, gram_list = pa.array(_by_document(table.value.get(keys)[0], size)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))
             else:
-                keys, size = grams(lower)
-                lm = np.zeros(n)
-                gram_list = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(signed(keys)))
+                # The batch's first row names its grams.
+                keys = np.unique(grams(lower)[0])
+                lm, text = pa.nulls(n, pa.float64()), pa.array(lower, pa.binary())
+                gram_list = pa.ListArray.from_arrays(pa.array(np.append(0, np.full(n, len(keys))).astype(np.int32)), pa.array(signed(keys)))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + n)), batch["doc_id"], pa.array([held_out(i) for i in batch["doc_id"].to_pylist()]),
-                pa.array(np.diff(ends)), pa.array(known), pa.array(base), pa.array(lm), pa.array([len(t) for t in lower], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(signed(h[rare]))), gram_list,
-            ], names=["uid", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "n_bytes", "rare", "grams"])
+                pa.array(np.arange(uid, uid + n)), pa.array(np.full(n, uid)), batch["doc_id"], pa.array([held_out(i) for i in batch["doc_id"].to_pylist()]),
+                pa.array(np.diff(ends)), pa.array(known), pa.array(base), lm, pa.array([len(t) for t in lower], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(signed(h[rare]))), text, gram_list,
+            ], names=["uid", "batch", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "n_bytes", "rare", "text", "grams"])
             uid += n
 
-    told = scratch.keep(docs.mapInArrow(scan, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lm double, n_bytes long, rare array<long>, grams array<long>"), "told")
+    told = scratch.keep(docs.mapInArrow(scan, f"uid long, batch long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lm double, n_bytes long, rare array<long>, text binary, grams array<long>"), "told")
     rare = told.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("k"))
     rare = rare.join(words.where(F.col("n") < F.lit(1 << power)) if power < 63 else words, "key", "left").groupBy("uid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
-    out = told.drop("rare", "grams").join(rare, "uid", "left")
+    out = told.drop("rare", "text", "grams").join(rare, "uid", "left")
     if table is None:
-        summed = told.select("uid", F.explode("grams").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("k")).join(model, "key").groupBy("uid").agg(
-            F.sum(F.col("k") * F.col("logp")).alias("summed"))
-        out = out.join(summed, "uid").withColumn("lm", F.col("summed"))
+        out = out.drop("lm").join(_joined(told, model), "uid")
     log10 = F.col("lm") / math.log(10)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
