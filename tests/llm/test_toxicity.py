@@ -73,3 +73,44 @@ def test_odd_rows(spark, odd):
     assert len(scored) == odd.count() and all(0 <= r.score <= 1 for r in scored)
     assert T.fit(odd, labels.limit(0)) is None and {r.score for r in T.toxicity(odd, None).collect()} == {0.0}
     assert T.toxicity(odd.limit(0), T.fit(odd, labels)).count() == 0
+    # New columns replace those of their names; a filter keeps all as they are.
+    assert scored[0].hits == 7 and len(scored[0].asDict()) == len(odd.columns)
+    kept = T.drop_toxic(odd, labels.limit(0))
+    assert kept.columns == odd.columns and [r.score for r in kept.collect()] == [0.5] * odd.count()
+
+
+def test_sample_does_not_depend_on_the_layout(spark, monkeypatch):
+    """The byte limit is filled in the order of a hash of the ids."""
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 2000)
+    taken = []
+    monkeypatch.setattr(T, "train", lambda sample, share: taken.append(sample))
+    rows = [(i, f"text {i} " * (i % 9 + 1)) for i in range(120)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(120)], "doc_id long, quality int, toxic int")
+    T.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    T.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7), labels.orderBy("toxic"))
+    assert taken[0] == taken[1] and 1500 < sum(len(t) for t, _ in taken[0]) <= 2000
+
+
+def test_scores_against_plain_python(spark):
+    """Words marked by their documents, trained and scored on Spark, give what a token-by-token chain gives."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join([f"w{k}" for k in rng.integers(0, 60, 12)] + ["vile"] * (i % 4 == 0) + [f"z{k}" for k in rng.integers(0, 60, 3)])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(600)], "doc_id long, quality int, toxic int")
+    model = T.fit(df, labels)
+    got = {r.doc_id: r for r in T.toxicity(df, model).collect()}
+    for i, text in rows[:80]:
+        words = text.encode().split()
+        u = np.array([sum(model.weights[int(h) >> (64 - T.FEATURE_BITS)] for h in T.feature_hashes(w)) + model.bias for w in words])
+        f, b = [model.start * [1, np.exp(u[0])]], [np.ones(2)]
+        for x in u[1:]:
+            f.append((f[-1] / f[-1].sum()) @ model.step * [1, np.exp(x)])
+        for x in u[:0:-1]:
+            b.append(model.step @ (b[-1] / b[-1].sum() * [1, np.exp(x)]))
+        p = np.array([(y := s * t)[1] / y.sum() for s, t in zip(f, b[::-1])])
+        features = [p.max(), 1 - np.prod(1 - p), np.log1p(p.sum()), np.log1p(len(p))]
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(features @ model.curve[:-1] + model.curve[-1]))), abs=1e-6)
+        assert got[i].predicted == (i % 4 == 0)
+        if i % 4 == 0:
+            at = text.index("vile")
+            assert [(s.begin, s.end) for s in got[i].spans] == [(at, at + 4)]

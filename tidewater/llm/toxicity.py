@@ -9,8 +9,9 @@ hashed word features by gradient ascent on its likelihood. Forward-backward marg
 document give its offending spans, and their maximum and union a score through a logistic curve fitted on the training
 labels.
 
-Training takes at most SAMPLE labelled documents of each class, picked by hash, and SAMPLE_BYTES of text; that is all
-that reaches the driver. Scoring is one pass over the documents with no shuffle."""
+Training takes at most SAMPLE labelled documents of each class, picked by hash, and SAMPLE_BYTES of text, filled in the
+order of that hash; that is all that reaches the driver. Chains are cut after every ROW tokens in training, while scoring
+links them over the whole document. Scoring is one pass over the documents with no shuffle."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import MEMO_WORDS, pieces, read_table, texts
+from .common import MEMO_WORDS, by_place, pieces, read_table, texts
 from .decontaminate import words
 
 SAMPLE = 2000
@@ -272,7 +273,9 @@ def held_out(id_col: str = "doc_id"):
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Trains on labelled rows that aren't held out; None without labels of both kinds.
 
-    A document with several labels is toxic if one says so; null labels and null ids don't count; a null text is empty."""
+    A document with several labels is toxic if one says so; null labels and null ids don't count; a null text is empty.
+    The sample is the same however the tables are laid out: texts are taken in the order of a hash of their ids while
+    they fit into SAMPLE_BYTES (a text that doesn't fit is passed over), and copies of a text count once."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
@@ -280,10 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     # At most 2 * SAMPLE ids.
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     sample, room, seen = [], SAMPLE_BYTES, set()
     for r in rows.toLocalIterator():
-        # Copies of a text count once.
         if (key := (xxh3_64_intdigest(bytes(r.text)), r.toxic)) not in seen and len(r.text) <= room:
             seen.add(key)
             room -= len(r.text)
@@ -310,19 +312,18 @@ class _Scorer(dict):
         return np.split(p, np.cumsum([len(s) for s in scores])[:-1])
 
 
-def toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score double, predicted int and spans array<struct<begin, end>> (bytes of the UTF-8 text that runs of
-    tokens with a marginal of 1/2 or more take up; in a rejected document without such, those of its largest marginal).
+_SPANS = "array<struct<begin: long, end: long>>"
 
-    Null and empty texts have no tokens and get the score of a text without toxic ones. Repeated rows get equal scores.
-    Without a model all scores are 0. All columns of docs stay; it must not have columns score, predicted or spans."""
+
+def _scored(docs: DataFrame, model: Model | None, threshold: float, text_col: str) -> DataFrame:
+    """docs (columns c0, c1, ...) with score, predicted and spans."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(sent.value)
         for batch in pieces(batches, 4 << 20):
-            own = texts(batch["text"])
+            own = texts(batch[text_col])
             found = scorer.of(own) if sent.value and own else [np.empty(0)] * len(own)
             score = sent.value.scores(np.array([summary(p) for p in found]).reshape(-1, 4)) if sent.value else np.zeros(len(own))
             spans = []
@@ -337,16 +338,33 @@ def toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, kind)], names=[*batch.schema.names, "score", "predicted", "spans"])
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(scan, f"{schema}, score double, predicted int, spans array<struct<begin: long, end: long>>")
+    return docs.mapInArrow(scan, "".join(f"{n} {t}, " for n, t in docs.dtypes) + f"score double, predicted int, spans {_SPANS}")
+
+
+def toxicity(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with score double, predicted int and spans array<struct<begin, end>> (bytes of the UTF-8 text that runs of
+    tokens with a marginal of 1/2 or more take up; in a rejected document without such, those of its largest marginal).
+
+    Null and empty texts have no tokens and get the score of a text without toxic ones. Repeated rows get equal scores.
+    Without a model all scores are 0. All columns of docs stay but for columns of the three new names, which the new ones
+    replace."""
+    plain, name = by_place(docs)
+    new = ("score", "predicted", "spans")
+    stay = [i for i, c in enumerate(docs.columns) if c.lower() not in new]
+    return _scored(plain, model, threshold, name("text")).select(*(f"c{i}" for i in stay), *new).toDF(*(docs.columns[i] for i in stay), *new)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score below the threshold, with the columns of docs."""
-    return toxicity(docs, fit(docs, labels), threshold).where("predicted = 0").select(*docs.columns)
+    """The rows of docs that score below the threshold, with the columns of docs, whatever their names.
+
+    Null and empty texts score as texts without toxic words do; repeated rows stay or go together. Without labels of both
+    kinds there is no model and all rows stay."""
+    plain, name = by_place(docs)
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
+    return _scored(plain, model, threshold, name("text")).where("predicted = 0").select(*plain.columns).toDF(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), "spans")
