@@ -82,8 +82,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: DataFrame | None =
         # The rows to encode, or else those to leave out, whichever list is short enough to send to all tasks.
         match = [F.col("digest") == F.col("m_digest"), F.col("doc_id").eqNullSafe(F.col("m_id"))]
         if rows - missing <= 200_000:
-            mine = misses.select("digest", "own", F.lit(True).alias("miss"))
-            left = seen.join(mine, "digest", "left").where(F.col("miss").isNull() | ~F.col("doc_id").eqNullSafe(F.col("own")))
+            owners = stored.select("digest", "own", F.col("n_tokens").isNull().alias("miss"), "n")
+            left = attach(seen, owners, ["digest"], distinct, rows, 200_000).where(~(F.col("miss") & F.col("doc_id").eqNullSafe(F.col("own"))))
             texts = texts.join(F.broadcast(left.select(F.col("digest").alias("m_digest"), F.col("doc_id").alias("m_id")).distinct()), match, "left_anti")
         else:
             texts = texts.join(small(misses.select(F.col("digest").alias("m_digest"), F.col("own").alias("m_id")), missing, 200_000), match, "left_semi")
