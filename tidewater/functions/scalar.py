@@ -54,8 +54,10 @@ def key_partition(key: Column, items: int, partitions: int) -> Column:
 
 
 def uniform(seed: int, *on: Column) -> Column:
-    """A number in [0, 1) from a hash: the same for the same inputs, wherever it runs."""
-    return (F.pmod(F.xxhash64(*on, F.lit(seed)), F.lit(1 << 52)).cast("double")) / F.lit(float(1 << 52))
+    """A number in [0, 1) from the first 52 bits of an MD5 of the inputs as text, joined by colons, and the seed: the same
+    for the same inputs, wherever it runs and in whatever engine."""
+    text = F.concat_ws(":", *(c.cast("string") for c in on), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def flat(u: Column, low: int, high: int) -> Column:

@@ -4,11 +4,12 @@ Transactions are events with a serial number `bid`. The result is that of runnin
 reads the versions below its own bid, and an aborted one writes nothing. Amounts are whole (cents), so that sums are
 exact in any order.
 
-Unconditional changes are prefix sums. Conditional ones, also over several keys, are a fixed point: from a guess of
-which transactions commit, prefix sums give every balance read, and these give the next guess. A transaction whose
+Unconditional changes are prefix sums. Conditional ones, also over several keys or tables, are a fixed point: from a guess
+of which transactions commit, prefix sums give every balance read, and these give the next guess. A transaction whose
 predecessors are all guessed right comes out right, so the first wrong one moves on with every round, and the only
 fixed point is the serial result. Rounds go on until no guess changes; each is a shuffle by key, with no key, chain or
-component gathered in one task."""
+component gathered in one task. What lies before the first wrong guess is settled: it is written once, its sums go into
+the balances that the rest starts from, and later rounds run over the rest."""
 
 from __future__ import annotations
 
@@ -20,10 +21,34 @@ from .versions import prefix_sum
 
 #: A balance must exceed this to be drawn on.
 RESERVE = 100_00
+#: Part of the serial numbers left that must be settled before they are set aside.
+SETTLED = 0.2
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share; on a cluster it must be set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return path or spark.conf.get("spark.sql.warehouse.dir")
+
+
+class _Rounds:
+    """Tables of a run's rounds in the shared folder."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/tidewater-ledger-{uuid.uuid4().hex[:12]}", 0
+
+    def keep(self, df: DataFrame) -> tuple[DataFrame, str]:
+        self.n += 1
+        path = f"{self.root}/{self.n:04d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, path: str | None) -> None:
+        if path:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def deposits(events: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -34,34 +59,53 @@ def deposits(events: DataFrame, accounts: DataFrame) -> DataFrame:
     return run.join(base, "key", "left").select(*events.columns, (F.coalesce("__base", F.lit(0)) + F.col("__before") + F.coalesce("amount", F.lit(0))).alias("balance"))
 
 
-def settle(legs: DataFrame, accounts: DataFrame, commits: Column) -> DataFrame:
+def settle(legs: DataFrame, accounts: DataFrame, commits: Column, keys: tuple[str, ...] = ("key",), alone: bool = False) -> DataFrame:
     """legs with `seen` (the balance read) and `committed`.
 
-    legs: (bid, leg, key, delta, decides, ...): what a transaction adds to each key. accounts: (key, balance). commits: a
-    condition on `seen`, `delta` and other columns of the leg that decides, one per transaction; all legs of a
-    transaction commit or abort with it. Two legs of one transaction on one key both read the version before it."""
-    spark = legs.sparkSession
-    root, n = f"{shared_folder(spark)}/tidewater-ledger-{uuid.uuid4().hex[:12]}", 0
-
-    def keep(df: DataFrame) -> DataFrame:
-        nonlocal n
-        n += 1
-        df.write.parquet(f"{root}/{n:04d}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{n:04d}")
-
-    base = accounts.select("key", F.col("balance").alias("__base"))
-    guess = keep(legs.join(base, "key", "left").withColumn("__base", F.coalesce("__base", F.lit(0))).withColumn("__ok", F.lit(True)))
+    legs: (bid, leg, *keys, delta, decides, ...): what a transaction adds to each key; more key columns than one, such as a
+    table's name and a key, make a state of several tables. accounts: (*keys, balance); an unknown one starts at 0. commits:
+    a condition on `seen`, `delta` and other columns of the legs that decide, of which all must hold; all legs of a
+    transaction commit or abort with them, and one without a deciding leg aborts. Two legs of one transaction on one key both
+    read the version before it. alone: each transaction is one leg, so that legs needn't meet by bid."""
+    keys, rounds = list(keys), _Rounds(legs.sparkSession)
+    own = [c for c in legs.columns]
+    base = accounts.select(*keys, F.col("balance").alias("__base"))
+    guess, path = rounds.keep(legs.join(base, keys, "left").withColumn("__base", F.coalesce("__base", F.lit(0).cast("long"))).withColumn("__ok", F.lit(True)))
+    low, high = guess.agg(F.min("bid"), F.max("bid")).first()
     whole = W.partitionBy("bid")
+    done = []
     while True:
-        read = prefix_sum(guess.withColumn("__delta", F.when(F.col("__ok"), F.col("delta"))), ["key"], "__delta", "__before")
+        read = prefix_sum(guess.withColumn("__delta", F.when(F.col("__ok"), F.col("delta"))), keys, "__delta", "__before")
         read = read.withColumn("seen", F.col("__base") + F.col("__before")).drop("__before", "__delta")
-        # The leg that decides tells the others of its transaction.
-        read = read.withColumn("__now", F.coalesce(F.max(F.when(F.col("decides"), commits)).over(whole), F.lit(False)))
+        # The legs that decide tell the others of their transaction.
+        holds = F.when(F.col("decides"), F.coalesce(commits, F.lit(False)))
+        read = read.withColumn("__now", F.coalesce(holds if alone else F.min(holds).over(whole), F.lit(False)))
         count = Observation()
-        read = keep(read.observe(count, F.count(F.when(F.col("__ok") != F.col("__now"), 1)).alias("changed")))
-        if not count.get["changed"]:
-            return read.select(*legs.columns, "seen", F.col("__now").alias("committed"))
-        guess = read.withColumn("__ok", F.col("__now")).drop("__now", "seen")
+        read, new = rounds.keep(read.observe(count, F.min(F.when(F.col("__ok") != F.col("__now"), F.col("bid"))).alias("first")))
+        first = count.get["first"]
+        rounds.drop(path)
+        path = new
+        if first is None:
+            done.append(read.select(*own, "seen", F.col("__now").alias("committed")))
+            out = done[0]
+            for part in done[1:]:
+                out = out.unionByName(part)
+            return out
+        guess = read.withColumn("__ok", F.col("__now"))
+        if first - low >= SETTLED * (high - low):
+            # Transactions below the first wrong guess, and that one itself, have their final result.
+            part, _ = rounds.keep(guess.where(F.col("bid") <= first).select(*own, "seen", F.col("__now").alias("committed")))
+            done.append(part)
+            sums = part.where("committed").groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("delta").alias("__moved"))
+            same = F.lit(True)
+            for i, k in enumerate(keys):
+                same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+            rest = guess.where(F.col("bid") > first).join(sums, same, "left").withColumn("__base", F.col("__base") + F.coalesce("__moved", F.lit(0)))
+            guess, new = rounds.keep(rest.select(*own, "__base", "__ok"))
+            rounds.drop(path)
+            path, low = new, first
+        else:
+            guess = guess.select(*own, "__base", "__ok")
 
 
 def withdrawals(events: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -69,7 +113,7 @@ def withdrawals(events: DataFrame, accounts: DataFrame) -> DataFrame:
     above the reserve and the amount, any other kind deposits."""
     draw = F.col("kind") == "withdraw"
     legs = events.withColumn("delta", F.when(draw, -F.col("amount")).otherwise(F.col("amount"))).withColumn("decides", F.lit(True))
-    done = settle(legs, accounts, ~draw | ((F.col("seen") > RESERVE) & (F.col("seen") > F.col("amount"))))
+    done = settle(legs, accounts, ~draw | ((F.col("seen") > RESERVE) & (F.col("seen") > F.col("amount"))), alone=True)
     return done.select(*events.columns, "seen", "committed", (F.col("seen") + F.when(F.col("committed"), F.col("delta")).otherwise(0)).alias("balance"))
 
 
@@ -103,26 +147,73 @@ def results(done: DataFrame) -> DataFrame:
     return done.select("bid", text.alias("result"))
 
 
+TABLES = ("accounts", "bookEntries")
+
+
+def guarded(events: DataFrame, accounts: DataFrame, low: int, high: int) -> DataFrame:
+    """events (bid, key, delta) with seen, committed and balance: an increment or decrement happens only while the balance
+    read lies in [low, high]."""
+    done = settle(events.withColumn("decides", F.lit(True)), accounts, F.col("seen").between(low, high), alone=True)
+    return done.select(*events.columns, "seen", "committed", (F.col("seen") + F.when(F.col("committed"), F.col("delta")).otherwise(0)).alias("balance"))
+
+
+def mixed(events: DataFrame, state: DataFrame) -> DataFrame:
+    """Deposits and transfers in one serial order over the tables of state (tbl, key, balance): (bid, flag, committed,
+    accounts_src, accounts_dest, bookEntries_src, bookEntries_dest), balances after each, null where it aborted or has no
+    such leg.
+
+    events: (bid, flag, src, dest, amount, is_abort). A deposit adds to src in every table and never fails; a transfer moves
+    the amount from src to dest in every table, if the source's balance exceeds the reserve and the amount in each of them.
+    Events marked is_abort (null: not) abort; other flags and transfers with src = dest or a null key abort too. Keys that
+    the state lacks start at 0."""
+    is_transfer = (F.col("flag") == "transfer") & F.col("dest").isNotNull() & (F.col("src") != F.col("dest"))
+    is_deposit = F.col("flag") == "deposit"
+    side = [F.struct(F.lit(t).alias("tbl"), F.lit(f"{t}_{s}").alias("leg"), F.col(s).alias("key"), (F.when(is_deposit | F.lit(s == "dest"), F.col("amount")).otherwise(-F.col("amount"))).alias("delta"),
+                     F.lit(s == "src").alias("decides")) for t in TABLES for s in ("src", "dest")]
+    legs = events.select("bid", "flag", "amount", F.coalesce("is_abort", F.lit(False)).alias("is_abort"), F.explode(
+        F.filter(F.array(*side), lambda x: x["decides"] | F.coalesce(is_transfer, F.lit(False)))).alias("x"), F.coalesce(is_transfer, F.lit(False)).alias("moves"))
+    legs = legs.select("bid", "flag", "amount", "is_abort", "moves", "x.*")
+    rule = ~F.col("is_abort") & F.col("key").isNotNull() & ((F.col("flag") == "deposit") | (F.col("moves") & (F.col("seen") > RESERVE) & (F.col("seen") > F.col("amount"))))
+    done = settle(legs, state, rule, keys=("tbl", "key"))
+    after = F.when(F.col("committed"), F.col("seen") + F.col("delta"))
+    return done.groupBy("bid", "flag", "committed").agg(*(F.max(F.when(F.col("leg") == f"{t}_{s}", after)).alias(f"{t}_{s}") for t in TABLES for s in ("src", "dest")))
+
+
+def mixed_state(done: DataFrame, events: DataFrame, state: DataFrame) -> DataFrame:
+    """(tbl, key, balance) after mixed: all rows of state, and the keys that committed events brought in."""
+    moved = done.where("committed").select("bid").join(events.select("bid", "flag", "src", "dest", "amount"), "bid")
+    amount = F.when(F.col("flag") == "deposit", F.col("amount")).otherwise(-F.col("amount"))
+    moved = moved.select(F.explode(F.array(F.struct(F.col("src").alias("key"), amount.alias("d")), F.struct(F.when(F.col("flag") == "transfer", F.col("dest")).alias("key"), F.col("amount").alias("d")))).alias("x"))
+    moved = moved.where("x.key is not null").groupBy(F.col("x.key").alias("key")).agg(F.sum("x.d").alias("d"))
+    moved = moved.select(F.explode(F.array(*(F.lit(t) for t in TABLES))).alias("tbl"), "key", "d")
+    return state.join(moved, ["tbl", "key"], "full").select("tbl", "key", (F.coalesce("balance", F.lit(0)) + F.coalesce("d", F.lit(0))).alias("balance"))
+
+
+def mixed_results(done: DataFrame) -> DataFrame:
+    """(bid, result): 'aborted', a deposit's balance, or a transfer's two, of the accounts and as text."""
+    text = F.when(F.col("flag") == "deposit", F.col("accounts_src").cast("string")).otherwise(F.concat_ws(",", F.col("accounts_src").cast("string"), F.col("accounts_dest").cast("string")))
+    return done.select("bid", F.when(F.col("committed"), text).otherwise("aborted").alias("result"))
+
+
 def chained_writes(events: DataFrame, accounts: DataFrame, choose: Column) -> DataFrame:
     """Writes whose key is known only when they run: each event adds `amount` to the key that `choose` gives, a
     condition on the events' columns and `seen`, the balance of `key` when the event runs.
 
     events: (bid, key, amount). Returns (bid, key, seen, target, balance); balance is the target's after the write. The
     same fixed point as settle's, with guessed keys for guessed commits."""
-    spark = events.sparkSession
-    root, n = f"{shared_folder(spark)}/tidewater-ledger-{uuid.uuid4().hex[:12]}", 0
+    rounds, path = _Rounds(events.sparkSession), None
     base = accounts.select("key", F.col("balance").alias("__base"))
     guess = events.withColumn("target", F.col("key"))
     while True:
-        n += 1
         write = guess.select("bid", F.col("target").alias("key"), F.lit(1).alias("what"), F.col("amount").alias("d"))
         read = guess.select("bid", "key", F.lit(0).alias("what"), F.lit(None).cast(dict(events.dtypes)["amount"]).alias("d"))
         run = prefix_sum(write.unionByName(read), ["key"], "d", "__before").join(base, "key", "left")
         run = run.select("bid", "what", (F.coalesce("__base", F.lit(0)) + F.col("__before")).alias("s"))
         by = run.groupBy("bid").agg(F.max(F.when(F.col("what") == 0, F.col("s"))).alias("seen"), F.max(F.when(F.col("what") == 1, F.col("s"))).alias("__at"))
         now = guess.join(by, "bid").withColumn("__now", choose)
-        now.write.parquet(f"{root}/{n:04d}")
-        now = spark.read.parquet(f"{root}/{n:04d}")
+        now, new = rounds.keep(now)
+        rounds.drop(path)
+        path = new
         if not now.where("not target <=> __now").limit(1).count():
             return now.select("bid", "key", "seen", "target", (F.col("__at") + F.coalesce("amount", F.lit(0))).alias("balance"))
         guess = now.select(*events.columns, F.col("__now").alias("target"))

@@ -27,6 +27,8 @@ class Predicate(enum.Enum):
 
 #: Join algorithms by name, as hints; None leaves the choice to Spark.
 JOIN_HINTS = {None: None, "hash": "shuffle_hash", "sort_merge": "merge", "nested_loop": "shuffle_replicate_nl", "broadcast": "broadcast"}
+#: Rows of the joined side up to which a hint to copy it to all tasks, or to meet every row with it, is followed.
+SMALL_SIDE = {"broadcast": 100_000, "nested_loop": 1_000}
 
 
 @dataclasses.dataclass(frozen=True)
@@ -55,7 +57,9 @@ class Query:
         kinds = self.frame.select(left).dtypes[0][1], side.select(right).dtypes[0][1]
         if kinds[0] != kinds[1]:
             raise TypeError(f"join of {left} {kinds[0]} with {right} {kinds[1]}")
-        if JOIN_HINTS[algorithm]:
+        most = SMALL_SIDE.get(algorithm)
+        # A side that is too long for the algorithm asked for is joined as Spark chooses.
+        if JOIN_HINTS[algorithm] and (most is None or other.limit(most + 1).count() <= most):
             side = side.hint(JOIN_HINTS[algorithm])
         return dataclasses.replace(self, frame=self.frame.join(side, F.col(left) == F.col(right), "inner"))
 
@@ -114,6 +118,17 @@ def initial_state(spark: SparkSession, rows: int, values: dict[str, str], key: s
     return spark.range(rows).select(*cast)
 
 
+def temp_table(table: DataFrame, name: str) -> DataFrame:
+    """The table under a name of the session, for SQL; an earlier one of that name is replaced. It holds no rows of its own."""
+    table.createOrReplaceTempView(name)
+    return table.sparkSession.table(name)
+
+
+def drop_temp_table(spark: SparkSession, name: str) -> bool:
+    """Whether there was one."""
+    return spark.catalog.dropTempView(name)
+
+
 def insert(table: DataFrame, rows: DataFrame) -> DataFrame:
     """The table with rows added, by name; missing or extra columns are errors."""
     return table.unionByName(rows)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .versions import BASE, read_latest, read_window
+from .versions import BASE, prefix_sum, previous, read_latest, read_window
 
 
 def grep_sum(reads: DataFrame, log: DataFrame) -> DataFrame:
@@ -45,9 +45,33 @@ def daily_spending(charged: DataFrame, minutes: int = 1440) -> DataFrame:
     return charged.groupBy("vid", F.floor(F.col("minute") / minutes).cast("long").alias("day")).agg(F.sum("toll").alias("spent"))
 
 
-def accidents(reports: DataFrame, repeats: int = 2) -> DataFrame:
-    """(segment, time, n_stopped): places and times at which at least `repeats` vehicles report speed 0."""
-    return reports.where("speed = 0").groupBy("segment", "time").agg(F.countDistinct("vid").alias("n_stopped")).where(F.col("n_stopped") >= repeats)
+def account_balance(requests: DataFrame, charged: DataFrame) -> DataFrame:
+    """requests (qid, vid, minute) with `balance`: the tolls charged to the vehicle before that minute (0 if none).
+
+    charged: (vid, segment, minute, toll)."""
+    tolls_ = charged.groupBy("vid", "minute").agg(F.sum("toll").alias("__toll")).withColumn("qid", F.lit(None).cast(dict(requests.dtypes)["qid"]))
+    rows = tolls_.unionByName(requests.select("vid", "minute", "qid", F.lit(None).cast("long").alias("__toll")))
+    rows = rows.withColumn("__asked", F.col("__toll").isNull())
+    return prefix_sum(rows, ["vid"], "__toll", "balance", bid="minute").where("__asked").select("qid", "vid", "minute", F.col("balance").cast("long").alias("balance"))
+
+
+def expenditure(requests: DataFrame, charged: DataFrame, minutes: int = 1440) -> DataFrame:
+    """requests (qid, vid, day) with `spent`: the vehicle's tolls of that day (0 if none)."""
+    return requests.join(daily_spending(charged, minutes), ["vid", "day"], "left").select("qid", "vid", "day", F.coalesce("spent", F.lit(0)).cast("long").alias("spent"))
+
+
+def latest_average_velocity(reports: DataFrame, minutes: int = 5) -> DataFrame:
+    """(segment, minute, lav): the average speed of all reports from the segment in the `minutes` before each minute for
+    which it has reports."""
+    by = reports.groupBy("segment", F.floor(F.col("time") / 60).cast("long").alias("minute")).agg(F.sum("speed").cast("double").alias("total"), F.count("speed").alias("n"))
+    later = by.select("segment", F.explode(F.sequence(F.col("minute") + 1, F.col("minute") + minutes)).alias("minute"), "total", "n")
+    sums = later.groupBy("segment", "minute").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return by.select("segment", "minute").join(sums, ["segment", "minute"]).select("segment", "minute", (F.col("total") / F.col("n")).alias("lav"))
+
+
+def accidents(reports: DataFrame, repeats: int = 2, slowest: int = 0) -> DataFrame:
+    """(segment, time, n_stopped): places and times at which at least `repeats` vehicles report a speed of `slowest` or less."""
+    return reports.where(F.col("speed") <= slowest).groupBy("segment", "time").agg(F.countDistinct("vid").alias("n_stopped")).where(F.col("n_stopped") >= repeats)
 
 
 def dependencies(operations: DataFrame) -> DataFrame:
@@ -55,8 +79,8 @@ def dependencies(operations: DataFrame) -> DataFrame:
 
     operations: (bid, op, key, reads array of other keys). 'temporal': the operation before on the same key. 'functional':
     the last earlier writer of each key that is read. 'logical': other operations on the transaction's first."""
-    before = W.partitionBy("key").orderBy("bid", "op")
-    temporal = operations.withColumn("source", F.lag("bid").over(before)).where("source is not null").select("source", F.col("bid").alias("target"), F.lit("temporal").alias("kind"))
+    temporal = previous(operations.select("bid", "op", "key"), ["key"], ["bid", "op"], "bid", "source").where("source is not null").select(
+        "source", F.col("bid").alias("target"), F.lit("temporal").alias("kind"))
     writes = operations.select("key", "bid", F.col("bid").alias("value"))
     probes = operations.select("bid", F.explode("reads").alias("key"))
     functional = read_latest(writes, probes, ["key"]).where("read_value is not null").select(
@@ -73,8 +97,22 @@ def epochs(events: DataFrame, size: int, bid: str = "bid") -> DataFrame:
 def epoch_metrics(events: DataFrame, size: int, ts: str) -> DataFrame:
     """(epoch, n_events, first_ts, last_ts, per_second) per batch of serial numbers."""
     by = epochs(events, size).groupBy("epoch").agg(F.count("*").alias("n_events"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
-    seconds = (F.unix_micros(F.col("last_ts").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1e6
+    seconds = (_micros(F.col("last_ts")) - _micros(F.col("first_ts"))) / 1e6
     return by.withColumn("per_second", F.when(seconds > 0, F.col("n_events") / seconds))
 
 
-__all__ = ["BASE", "accidents", "daily_spending", "dependencies", "epoch_metrics", "epochs", "grep_sum", "segment_stats", "tolls", "windowed_grep_sum"]
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def epoch_latency(events: DataFrame, size: int, ts: str) -> DataFrame:
+    """(epoch, min_latency, max_latency, avg_latency, total_latency) in microseconds: an event waits from its own time to
+    its batch's last, when the batch is evaluated."""
+    by = epochs(events, size)
+    ends = by.groupBy("epoch").agg(F.max(_micros(F.col(ts))).alias("__end"))
+    waited = by.join(ends, "epoch").select("epoch", (F.col("__end") - _micros(F.col(ts))).alias("w"))
+    return waited.groupBy("epoch").agg(F.min("w").alias("min_latency"), F.max("w").alias("max_latency"), F.avg("w").alias("avg_latency"), F.sum("w").alias("total_latency"))
+
+
+__all__ = ["BASE", "accidents", "account_balance", "daily_spending", "dependencies", "epoch_latency", "epoch_metrics", "epochs", "expenditure", "grep_sum", "latest_average_velocity",
+           "segment_stats", "tolls", "windowed_grep_sum"]

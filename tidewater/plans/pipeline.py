@@ -5,7 +5,9 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..sources.events import generate_ledger
 
 
 @dataclasses.dataclass(frozen=True)
@@ -29,6 +31,11 @@ class JobConfig:
             raise ValueError("shares lie between 0 and 1, and the skew isn't negative")
 
 
+    def ledger(self, spark: SparkSession) -> DataFrame:
+        """The job's events, see sources.events.generate_ledger."""
+        return generate_ledger(spark, self.events, self.accounts, self.skew, self.deposit_share, self.abort_share, self.seed)
+
+
 def shuffled(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 

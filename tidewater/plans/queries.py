@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import scalar
 from ..operators import ledger, relational as R, stats, versions as V, workloads as L
 from ..sources import events as E
 from ..streaming import jobs as S
+from . import pipeline as J
 
 P = R.Predicate
 QUERIES, ORACLES = {}, {}
@@ -125,6 +128,18 @@ def delete_rows(spark, sf):
     return R.delete(table(spark, sf, "customer").select("c_custkey", "c_name"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
+@query("delete_rows_some", "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000)")
+def delete_rows_some(spark, sf):
+    """Customers without a large finished order: some go, some stay."""
+    gone = table(spark, sf, "orders").where("o_orderstatus = 'F' and o_totalprice > 200000").withColumnRenamed("o_custkey", "c_custkey")
+    return R.delete(table(spark, sf, "customer").select("c_custkey", "c_name"), gone, "c_custkey")
+
+
+@query("temp_table_scan", "SELECT n_name, n_regionkey FROM nation WHERE n_regionkey > 1")
+def temp_table_scan(spark, sf):
+    return R.temp_table(table(spark, sf, "nation"), "tidewater_nation").where("n_regionkey > 1").select("n_name", "n_regionkey")
+
+
 @query("upsert_rows", "SELECT s_suppkey AS k, 'supplier' AS origin FROM supplier UNION ALL SELECT p_partkey, 'part' FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)")
 def upsert_rows(spark, sf):
     parts = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.lit("part").alias("origin"))
@@ -188,6 +203,8 @@ def snapshot_read_last(spark, sf):
     return V.snapshot(log, ["key"], V.BASE if last is None else last + 1)
 
 
+query("previous_version", f"SELECT key, bid, lag(value) OVER (PARTITION BY key ORDER BY bid) AS before FROM {_LOG}")(
+    lambda s, d: V.previous(version_log(s, d), ["key"], ["bid"], "value", "before", width=1000).select("key", "bid", "before"))
 query("compact_versions", f"SELECT key, CAST(-1 AS BIGINT) AS bid, max_by(value, bid) AS value FROM {_LOG} GROUP BY key")(lambda s, d: V.compact(version_log(s, d), ["key"]))
 query("window_read_range", f"SELECT key, bid, count(*) OVER w AS n_versions, CAST(sum(value) OVER w AS BIGINT) AS sum_versions FROM {_LOG} WINDOW w AS (PARTITION BY key ORDER BY bid RANGE BETWEEN 1024 PRECEDING AND 1 PRECEDING)")(
     lambda s, d: V.read_window(version_log(s, d), version_log(s, d).select("key", "bid"), ["key"], 1024))
@@ -244,10 +261,104 @@ query("ledger_results", _SERIAL + "SELECT bid, CASE WHEN ok THEN st[s + 1] || ',
     lambda s, d: ledger.results(ledger.transfers(transfer_events(s, d), accounts(s, d))))
 
 
-@query("non_deterministic_write")
+@query("ledger_new_accounts", f"SELECT l.key, bid, CAST(CASE WHEN l.key % 2 = 0 THEN coalesce(balance, 0) ELSE 0 END + sum(value) OVER (PARTITION BY l.key ORDER BY bid) AS BIGINT) AS balance FROM {_LOG} l LEFT JOIN {_ACCOUNTS} a ON a.key = l.key")
+def ledger_new_accounts(spark, sf):
+    """Deposits to accounts half of which don't exist yet."""
+    return ledger.deposits(keyed_events(spark, sf).select("key", "bid", "amount"), accounts(spark, sf).where("key % 2 = 0")).select("key", "bid", "balance")
+
+
+@query("guarded_inc_dec", f"""
+SELECT e.key, list_reduce(list_prepend(any_value(coalesce(balance, 0)), list(CASE WHEN event_type = 'purchase' THEN -amount ELSE amount END ORDER BY bid)),
+  lambda a, x: CASE WHEN a >= 0 AND a <= 500000 THEN a + x ELSE a END) AS balance
+FROM (SELECT user_id AS key, event_id AS bid, CAST(round(value * 100) AS BIGINT) AS amount, event_type FROM events) e
+LEFT JOIN {_ACCOUNTS} a ON a.key = e.key GROUP BY e.key""")
+def guarded_inc_dec(spark, sf):
+    """Increments and decrements that happen only while the balance lies between 0 and 5,000."""
+    events = keyed_events(spark, sf).withColumn("delta", F.when(F.col("kind") == "withdraw", -F.col("amount")).otherwise(F.col("amount")))
+    return ledger.guarded(events.select("bid", "key", "delta"), accounts(spark, sf), 0, 500_000).groupBy("key").agg(F.max_by("balance", "bid").alias("balance"))
+
+
+def mixed_events(spark, sf):
+    """Views and sign-ups are deposits, other events transfers, errors transfers that abort."""
+    e = transfer_events(spark, sf).join(table(spark, sf, "events").select(F.col("event_id").alias("bid"), "event_type"), "bid")
+    return e.select("bid", F.when(F.col("event_type").isin("view", "signup"), "deposit").otherwise("transfer").alias("flag"), "src", "dest", "amount", (F.col("event_type") == "error").alias("is_abort"))
+
+
+def mixed_tables(spark, sf):
+    """Accounts from customers; book entries begin at 500 and one more for each key."""
+    a = accounts(spark, sf)
+    book = a.select(F.lit("bookEntries").alias("tbl"), "key", (F.col("key") * 100 + 50_000).alias("balance"))
+    return a.select(F.lit("accounts").alias("tbl"), "key", "balance").unionByName(book)
+
+
+def _mixed_serial(events: str, n: str, accounts: str, book: str) -> str:
+    """A serial run of deposits and transfers over two tables, whose states are lists by key.
+
+    events: (bid, f, s, d, v, ab); n: the number of keys; accounts and book: (key, balance)."""
+    fine = "(NOT o.ab AND (o.f = 'deposit' OR (o.s <> o.d AND least(a[o.s + 1], b[o.s + 1]) > greatest(10000, o.v))))"
+
+    def after(st: str) -> str:
+        return (f"CASE WHEN {fine} THEN list_transform({st}, lambda x, i: CASE WHEN i = o.s + 1 THEN x + CASE WHEN o.f = 'deposit' THEN o.v ELSE -o.v END "
+                f"WHEN o.f = 'transfer' AND i = o.d + 1 THEN x + o.v ELSE x END) ELSE {st} END")
+
+    return f"""
+WITH RECURSIVE n AS ({n}), e AS MATERIALIZED ({events}), o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY bid) AS rn FROM e),
+start AS (SELECT list(coalesce(x.balance, 0) ORDER BY u) AS a, list(coalesce(y.balance, 0) ORDER BY u) AS b
+  FROM (SELECT unnest(range(n)) AS u FROM n) LEFT JOIN ({accounts}) x ON x.key = u LEFT JOIN ({book}) y ON y.key = u),
+r(rn, bid, f, s, d, ok, a, b) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, false, a, b FROM start
+  UNION ALL SELECT o.rn, o.bid, o.f, o.s, o.d, {fine}, {after("a")}, {after("b")} FROM r JOIN o ON o.rn = r.rn + 1)
+"""
+
+
+_BOOK = "SELECT c_custkey AS key, CAST(c_custkey * 100 + 50000 AS BIGINT) AS balance FROM customer"
+_MIXED = _mixed_serial(f"""SELECT event_id AS bid, CASE WHEN event_type IN ('view', 'signup') THEN 'deposit' ELSE 'transfer' END AS f, user_id AS s, (user_id + {SQL_K} + 1) % n AS d,
+  CAST(round(value * 100) AS BIGINT) AS v, event_type = 'error' AS ab FROM events, n""", "SELECT max(user_id) + 1 AS n FROM events", f"SELECT * FROM {_ACCOUNTS}", _BOOK)
+_MIXED_RESULT = "CASE WHEN NOT ok THEN 'aborted' WHEN f = 'deposit' THEN CAST(a[s + 1] AS VARCHAR) ELSE a[s + 1] || ',' || a[d + 1] END AS result"
+_MIXED_STATE = _MIXED + f""", z AS (SELECT a, b FROM r ORDER BY rn DESC LIMIT 1)
+SELECT 'accounts' AS tbl, key, CASE WHEN key < len(a) THEN a[key + 1] ELSE balance END AS balance FROM {_ACCOUNTS} x, z
+UNION ALL SELECT 'bookEntries', key, CASE WHEN key < len(b) THEN b[key + 1] ELSE balance END FROM ({_BOOK}) y, z"""
+
+
+@query("ledger_mixed", _MIXED_STATE)
+def ledger_mixed(spark, sf):
+    """Both tables after deposits and transfers in one serial order."""
+    events, state = mixed_events(spark, sf), mixed_tables(spark, sf)
+    return ledger.mixed_state(ledger.mixed(events, state), events, state)
+
+
+query("ledger_mixed_results", _MIXED + f"SELECT bid, {_MIXED_RESULT} FROM r WHERE rn > 0")(
+    lambda s, d: ledger.mixed_results(ledger.mixed(mixed_events(s, d), mixed_tables(s, d))))
+
+
+@query("stream_mixed_ledger", _MIXED_STATE)
+def stream_mixed_ledger(spark, sf, epochs: int = 3):
+    """The same as a stream of files, an epoch each; the last state."""
+    rounds = f"{ledger.shared_folder(spark)}/tidewater-stream-{uuid.uuid4().hex[:12]}"
+    events = mixed_events(spark, sf)
+    last = events.agg(F.max("bid")).first()[0] or 0
+    size = -(-(last + 1) // epochs)
+    for n in range(epochs):
+        events.where(F.col("bid").between(n * size, (n + 1) * size - 1)).coalesce(1).write.mode("append").parquet(f"{rounds}/in")
+    schema = "bid long, flag string, src long, dest long, amount long, is_abort boolean"
+    q = S.mixed_ledger(S.tables(spark, f"{rounds}/in", schema), mixed_tables(spark, sf), f"{rounds}/out", f"{rounds}/check")
+    q.processAllAvailable()
+    done = q.lastProgress
+    q.stop()
+    return S.state_of(spark, f"{rounds}/out", max(epochs - 1, done.batchId if done and done.numInputRows else 0))
+
+
+@query("non_deterministic_write", f"""
+WITH RECURSIVE n AS (SELECT max(user_id) + 1 AS n FROM events),
+o AS (SELECT key, bid, value AS v, row_number() OVER (ORDER BY bid) AS rn FROM {_LOG}),
+r(rn, bid, key, seen, target, balance, n, st) AS (
+  SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, n, list_transform(range(n), lambda x: 0::BIGINT) FROM n
+  UNION ALL SELECT o.rn, o.bid, o.key, x.seen, x.target, st[x.target + 1] + o.v, r.n, list_transform(st, lambda y, i: CASE WHEN i = x.target + 1 THEN y + o.v ELSE y END)
+  FROM r JOIN o ON o.rn = r.rn + 1, LATERAL (SELECT st[o.key + 1] AS seen, CASE WHEN st[o.key + 1] > 5000000 THEN st[o.key + 1] % r.n ELSE o.key END AS target) x)
+SELECT bid, key, seen, target, balance FROM r WHERE rn > 0""")
 def non_deterministic_write(spark, sf):
     """An event adds its value to its own key, or, where it finds more than 50,000 there, to the key that the balance
-    read names. Tested against a serial run."""
+    read names."""
     keys = keyed_events(spark, sf).select("bid", "key", "amount")
     n = keys.agg(F.max("key") + 1).first()[0] or 1
     base = keys.select("key").distinct().withColumn("balance", F.lit(0).cast("long"))
@@ -286,6 +397,39 @@ query("toll_charge", _TOLLS)(lambda s, d: L.tolls(reports(s, d), crowd=1, slow=6
 query("toll_daily_spending", f"SELECT vid, minute // 1440 AS day, CAST(sum(toll) AS BIGINT) AS spent FROM ({_TOLLS}) GROUP BY ALL")(lambda s, d: L.daily_spending(L.tolls(reports(s, d), crowd=1, slow=60.0)))
 query("toll_accidents", f"SELECT segment, time // 60 AS time, count(DISTINCT vid) AS n_stopped FROM {_REPORTS} WHERE speed = 0 GROUP BY ALL HAVING n_stopped >= 2")(
     lambda s, d: L.accidents(reports(s, d).withColumn("time", F.floor(F.col("time") / 60).cast("long"))))
+
+
+def rush_reports(spark, sf):
+    """The same reports with 720 seconds as one, so that vehicles meet."""
+    return reports(spark, sf).withColumn("time", F.floor(F.col("time") / 720).cast("long"))
+
+
+_RUSH = f"(SELECT vid, time // 720 AS time, segment, speed FROM {_REPORTS})"
+_RUSH_TOLLS = _TOLLS.replace(_REPORTS, _RUSH)
+query("toll_rush_charge", _RUSH_TOLLS)(lambda s, d: L.tolls(rush_reports(s, d), crowd=1, slow=60.0))
+query("toll_slow_places", f"SELECT segment, time // 60 AS time, count(DISTINCT vid) AS n_stopped FROM {_RUSH} WHERE speed <= 30 GROUP BY ALL HAVING n_stopped >= 2")(
+    lambda s, d: L.accidents(rush_reports(s, d).withColumn("time", F.floor(F.col("time") / 60).cast("long")), slowest=30))
+
+
+def toll_requests(spark, sf):
+    """A third of the vehicles ask for their account in every minute in which they report."""
+    asked = rush_reports(spark, sf).withColumn("minute", F.floor(F.col("time") / 60).cast("long")).select("vid", "minute").distinct()
+    return asked.where("vid % 3 = 0").select((F.col("vid") * 1_000_000 + F.col("minute")).alias("qid"), "vid", "minute")
+
+
+_REQUESTS = f"(SELECT DISTINCT vid * 1000000 + time // 60 AS qid, vid, time // 60 AS minute FROM {_RUSH} WHERE vid % 3 = 0)"
+query("toll_account_balance", f"""SELECT qid, r.vid, r.minute, CAST(coalesce(sum(toll), 0) AS BIGINT) AS balance
+FROM {_REQUESTS} r LEFT JOIN ({_RUSH_TOLLS}) t ON t.vid = r.vid AND t.minute < r.minute GROUP BY ALL""")(
+    lambda s, d: L.account_balance(toll_requests(s, d), L.tolls(rush_reports(s, d), crowd=1, slow=60.0)))
+query("toll_expenditure", f"""SELECT qid, r.vid, r.day, CAST(coalesce(sum(toll), 0) AS BIGINT) AS spent
+FROM (SELECT DISTINCT vid * 10 AS qid, vid, minute // 20 AS day FROM {_REQUESTS}) r LEFT JOIN ({_RUSH_TOLLS}) t ON t.vid = r.vid AND t.minute // 20 = r.day GROUP BY ALL""")(
+    lambda s, d: L.expenditure(toll_requests(s, d).select((F.col("vid") * 10).alias("qid"), "vid", F.floor(F.col("minute") / 20).cast("long").alias("day")).distinct(), L.tolls(rush_reports(s, d), crowd=1, slow=60.0), minutes=20))
+query("toll_average_velocity", f"""SELECT m.segment, m.minute, round(avg(speed), 6) AS lav FROM (SELECT DISTINCT segment, time // 60 AS minute FROM {_RUSH}) m
+JOIN {_RUSH} r ON r.segment = m.segment AND r.time // 60 BETWEEN m.minute - 5 AND m.minute - 1 GROUP BY ALL""")(
+    lambda s, d: L.latest_average_velocity(rush_reports(s, d)).withColumn("lav", F.round("lav", 6)))
+query("epoch_latency", """SELECT event_id // 1000 AS epoch, min(w) AS min_latency, max(w) AS max_latency, round(avg(w), 3) AS avg_latency, CAST(sum(w) AS BIGINT) AS total_latency
+FROM (SELECT event_id, max(epoch_us(ts)) OVER (PARTITION BY event_id // 1000) - epoch_us(ts) AS w FROM events) GROUP BY 1""")(
+    lambda s, d: L.epoch_latency(table(s, d, "events").withColumnRenamed("event_id", "bid"), 1000, "ts").withColumn("avg_latency", F.round("avg_latency", 3)))
 query("epoch_batches", "SELECT event_id, event_id // 1000 AS epoch FROM events")(lambda s, d: L.epochs(table(s, d, "events").select("event_id"), 1000, "event_id"))
 query("epoch_metrics", "SELECT event_id // 1000 AS epoch, count(*) AS n_events, round(count(*) / nullif((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 0), 6) AS per_second FROM events GROUP BY 1")(
     lambda s, d: L.epoch_metrics(table(s, d, "events").withColumnRenamed("event_id", "bid"), 1000, "ts").select("epoch", "n_events", F.round("per_second", 6).alias("per_second")))
@@ -361,6 +505,12 @@ def parse_event_json(spark, sf):
 query("number_events", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS bid FROM orders")(
     lambda s, d: E.numbered(table(s, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", "bid"))
 
+query("partial_key_sums", "SELECT user_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1")(
+    lambda s, d: J.partial_key_sums(table(s, d, "events").select("user_id", cents("value").alias("c")), "user_id", "c").select("user_id", "total"))
+query("grouping_by_fields", "SELECT user_id, count(*) AS n, CAST(1 AS BIGINT) AS tasks FROM events GROUP BY 1")(
+    lambda s, d: J.by_fields(J.shuffled(table(s, d, "events").select("user_id"), 5), 7, "user_id").withColumn("p", F.spark_partition_id()).groupBy("user_id").agg(
+        F.count("*").alias("n"), F.countDistinct("p").alias("tasks")))
+
 # --- Scalar functions -----------------------------------------------------------------------------------------------
 
 query("scalar_minute_floor", "SELECT event_id, epoch_us(date_trunc('minute', ts)) AS minute FROM events")(
@@ -381,9 +531,46 @@ query("scalar_key_partition", "SELECT c_custkey, CAST(least(c_custkey // 188, 7)
     lambda s, d: table(s, d, "customer").select("c_custkey", scalar.key_partition(F.col("c_custkey"), 1500, 8).alias("p")))
 
 
-@query("generated_ledger")
+def _uniform(on: str, seed: int) -> str:
+    return f"(CAST(('0x' || substr(md5(CAST({on} AS VARCHAR) || ':{seed}'), 1, 13)) AS BIGINT) / 4503599627370496.0)"
+
+
+def _zipf(u: str, n: int, skew: float) -> str:
+    return f"CAST(least(floor(pow({u} * {(n + 1) ** (1 - skew) - 1!r} + 1, {1 / (1 - skew)!r})) - 1, {n - 1}) AS BIGINT)"
+
+
+query("scalar_distributions", f"""SELECT p_partkey, round({_uniform('p_partkey', 1)}, 9) AS u, CAST(floor({_uniform('p_partkey', 1)} * 40) + 10 AS BIGINT) AS flat,
+round(sqrt(-2 * ln(1 - {_uniform('p_partkey', 1)})) * cos(2 * pi() * {_uniform('p_partkey', 2)}), 6) AS gauss,
+CAST({' + '.join(f"CAST({_uniform('p_partkey', k)} < 0.3 AS INT)" for k in range(3, 9))} AS INT) AS successes,
+CASE WHEN {_uniform('p_partkey', 9)} < 0.7 THEN 'hot' WHEN {_uniform('p_partkey', 9)} < 0.9 THEN 'warm' ELSE 'cold' END AS share, {_zipf(_uniform('p_partkey', 10), 1000, 0.6)} AS zipf FROM part""")(
+    lambda s, d: table(s, d, "part").select(
+        "p_partkey", F.round(scalar.uniform(1, F.col("p_partkey")), 9).alias("u"), scalar.flat(scalar.uniform(1, F.col("p_partkey")), 10, 50).alias("flat"),
+        F.round(scalar.gaussian(scalar.uniform(1, F.col("p_partkey")), scalar.uniform(2, F.col("p_partkey"))), 6).alias("gauss"),
+        scalar.binomial([scalar.uniform(i, F.col("p_partkey")) for i in range(3, 9)], 0.3).alias("successes"),
+        scalar.by_share(scalar.uniform(9, F.col("p_partkey")), {"hot": 7, "warm": 2, "cold": 1}).alias("share"), scalar.zipf(scalar.uniform(10, F.col("p_partkey")), 1000, 0.6).alias("zipf")))
+
+JOB = J.JobConfig("generated", events=20_000, accounts=500, skew=0.6, abort_share=0.05, seed=1)
+_BASE_ROWS = f"SELECT range AS key, range * 10000 AS balance FROM range({JOB.accounts})"
+_MADE = f"""SELECT range AS bid, CASE WHEN {_uniform('range', 16)} < {JOB.deposit_share} THEN 'deposit' ELSE 'transfer' END AS f, {_zipf(_uniform('range', 17), JOB.accounts, JOB.skew)} AS s,
+  ({_zipf(_uniform('range', 17), JOB.accounts, JOB.skew)} + 1 + CAST(floor({_uniform('range', 18)} * {JOB.accounts - 1}) AS BIGINT)) % {JOB.accounts} AS d,
+  CAST(floor({_uniform('range', 19)} * 10000) AS BIGINT) AS v, {_uniform('range', 20)} < {JOB.abort_share} AS ab FROM range({JOB.events})"""
+
+
+def generated_state(spark):
+    return R.initial_state(spark, JOB.accounts, {"balance": "long"}).select(F.col("Key").cast("long").alias("key"), (F.col("balance") * 10_000).alias("balance"))
+
+
+@query("generated_ledger", _mixed_serial(f"SELECT * FROM ({_MADE}) WHERE f = 'transfer' AND NOT ab", f"SELECT {JOB.accounts} AS n", _BASE_ROWS, _BASE_ROWS)
+       + "SELECT bid, CASE WHEN ok THEN a[s + 1] || ',' || a[d + 1] ELSE 'aborted' END AS result FROM r WHERE rn > 0")
 def generated_ledger(spark, sf):
-    """Transfers and deposits by hash and Zipf keys, run as a ledger. No SQL: the hashes are Spark's."""
-    made = E.generate_ledger(spark, 20_000, 500, skew=0.6, abort_share=0.05, seed=1).where("flag = 'transfer' and not is_abort")
-    base = R.initial_state(spark, 500, {"balance": "long"}).select(F.col("Key").cast("long").alias("key"), (F.col("balance") * 10_000).alias("balance"))
-    return ledger.results(ledger.transfers(made.select("bid", "src", "dest", "amount"), base))
+    """The transfers of a generated job, by hash and Zipf keys, run as a ledger."""
+    made = JOB.ledger(spark).where("flag = 'transfer' and not is_abort")
+    return ledger.results(ledger.transfers(made.select("bid", "src", "dest", "amount"), generated_state(spark)))
+
+
+@query("generated_mixed", _mixed_serial(_MADE, f"SELECT {JOB.accounts} AS n", _BASE_ROWS, _BASE_ROWS) + f"SELECT bid, {_MIXED_RESULT} FROM r WHERE rn > 0")
+def generated_mixed(spark, sf):
+    """All events of a generated job: deposits, transfers and those that are to abort, over two tables."""
+    base = generated_state(spark)
+    state = base.select(F.explode(F.array(*(F.lit(t) for t in ledger.TABLES))).alias("tbl"), "key", "balance")
+    return ledger.mixed_results(ledger.mixed(JOB.ledger(spark), state))

@@ -45,8 +45,10 @@ def to_text(events: DataFrame) -> Column:
                        F.col("flag"), F.col("is_abort").cast("string"))
 
 
-def numbered(events: DataFrame, order: list[str], ranges: int = 64) -> DataFrame:
-    """events with `bid` from 0 without gaps in the order of unique columns: ranges are counted, then numbered apart."""
+def numbered(events: DataFrame, order: list[str], ranges: int | None = None) -> DataFrame:
+    """events with `bid` from 0 without gaps in the order of unique columns: ranges (one for about a million rows, 64 at
+    least) are counted, then numbered apart."""
+    ranges = ranges or max(64, -(-events.count() // 1_000_000))
     ranged = events.repartitionByRange(ranges, *order).withColumn("__p", F.spark_partition_id())
     ranged = ranged.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("__n"))  # one row per range

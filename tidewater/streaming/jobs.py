@@ -27,27 +27,46 @@ def tables(spark: SparkSession, path: str, schema, files_per_epoch: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_epoch).parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def transfer_ledger(events: DataFrame, accounts: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Runs transfers (bid, src, dest, amount) epoch by epoch: results under out/results/epoch=N, the balances after each
-    under out/state/N.
+def _epochs(events: DataFrame, start: DataFrame, out: str, checkpoint: str, run: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]], keep: int, every: str | None) -> StreamingQuery:
+    """Runs run(batch, state) -> (results, new state) epoch by epoch: results under out/results/epoch=N, the state after
+    each under out/state/N, of which the last `keep` stay. every: the trigger's period, such as '10 seconds'; without it an
+    epoch follows the other as data arrives.
 
     An epoch reads the state its predecessor wrote and overwrites its own folders, so that one that is run again after
-    a failure writes the same. Serial numbers must not fall from epoch to epoch."""
+    a failure writes the same: at least two states must stay. Serial numbers must not fall from epoch to epoch."""
     spark = events.sparkSession
 
     def epoch(batch: DataFrame, n: int) -> None:
-        state = accounts if n == 0 else spark.read.parquet(f"{out}/state/{n - 1}")
-        done = ledger.transfers(batch, state).cache()
-        ledger.results(done).write.mode("overwrite").parquet(f"{out}/results/epoch={n}")
-        ledger.final_balances(done, state).write.mode("overwrite").parquet(f"{out}/state/{n}")
-        done.unpersist()
+        state = start if n == 0 else spark.read.parquet(f"{out}/state/{n - 1}")
+        results, after = run(batch, state)
+        results.write.mode("overwrite").parquet(f"{out}/results/epoch={n}")
+        after.write.mode("overwrite").parquet(f"{out}/state/{n}")
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/state/{n - max(2, keep)}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+    writer = events.writeStream.foreachBatch(epoch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer).start()
+
+
+def transfer_ledger(events: DataFrame, accounts: DataFrame, out: str, checkpoint: str, keep: int = 3, every: str | None = None) -> StreamingQuery:
+    """Runs transfers (bid, src, dest, amount) epoch by epoch, see _epochs. Stopping the query pauses the ledger; a new one
+    with the same folders goes on where it stopped."""
+
+    def run(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        done = ledger.transfers(batch, state)
+        return ledger.results(done), ledger.final_balances(done, state)
+
+    return _epochs(events, accounts, out, checkpoint, run, keep, every)
+
+
+def mixed_ledger(events: DataFrame, state: DataFrame, out: str, checkpoint: str, keep: int = 3, every: str | None = None) -> StreamingQuery:
+    """Runs deposits and transfers (bid, flag, src, dest, amount, is_abort) over several tables, as transfer_ledger does."""
+
+    def run(batch: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+        done = ledger.mixed(batch, state)
+        return ledger.mixed_results(done), ledger.mixed_state(done, batch, state)
 
-    return events.writeStream.foreachBatch(epoch).option("checkpointLocation", checkpoint).start()
+    return _epochs(events, state, out, checkpoint, run, keep, every)
 
 
 def state_of(spark: SparkSession, out: str, epoch: int) -> DataFrame:
