@@ -1,6 +1,6 @@
 import random
 
-from tidewater.llm import substring as S
+from tidewater.llm import common, substring as S
 
 
 def brute(rows, window=13):
@@ -53,6 +53,46 @@ def test_a_full_filter_loses_nothing(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_colliding_hashes_lose_no_word(spark):
+    """With hashes of 9 bits nearly every edge collides; the words at the coordinates settle it."""
+    rows = cases(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in S.dedup_substrings(df, hash_bits=9).collect()}
+    assert got == brute(rows)
+
+
+def test_paths_end_at_branching_nodes(spark):
+    """Two documents share a passage that goes on differently in others: the node where it forks parts the paths."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, f"{a} {b} x"), (2, f"{a} {c} y"), (3, f"z {a} {b}"), (4, f"w {a} {c}")]
+    words = {d: t.split() for d, t in rows}
+    met = []
+    for d, w in words.items():
+        for i in range(len(w) - 12):
+            met.append((tuple(w[i : i + 13]), d, i))
+    edge = {e: k for k, e in enumerate(dict.fromkeys(e for e, _, _ in met))}
+    first = {}
+    for e, d, i in met:
+        first.setdefault(e, (d, i))
+    several = {e for e in edge if len({d for x, d, _ in met if x == e}) > 1}
+    df = spark.createDataFrame([(edge[e], d, i, *first[e]) for e, d, i in met if e in several], "edge long, doc_id long, start long, source long, source_start long")
+    paths = sorted((r.doc_id, r.start, r.edges, r.source, r.source_start) for r in S._compacted(df, 13, S.Scratch(spark, "test")).collect())
+    # The passage a has 18 edges; the edges after them branch to b or c.
+    assert paths == [(2, 0, 18, 1, 0), (3, 1, 18, 1, 0), (3, 19, 30, 1, 18), (4, 1, 18, 1, 0), (4, 19, 30, 2, 18)]
+
+
+def test_window_hashes_by_doubling():
+    h = S.np.random.default_rng(2).integers(0, 1 << 63, 50).astype(S.np.uint64)
+    for n in (1, 2, 5, 12, 13, 50):
+        want = []
+        for i in range(len(h) - n + 1):
+            x = 0
+            for w in h[i : i + n].tolist():
+                x = (x * int(common._BASE) + w) % (1 << 64)
+            want.append(x)
+        assert (S.window_hashes(h, n) == S.mix(S.np.array(want, S.np.uint64) + S.np.uint64(n))).all()
+
+
 def test_spans_name_their_source(spark):
     rows = cases(3)
     words = {d: t.split() for d, t in rows}

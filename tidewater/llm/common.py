@@ -113,14 +113,21 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each window of n consecutive words, from the words' hashes (none if there are fewer words)."""
-    size = len(h) - n + 1
-    if size <= 0:
+    """Hash of each window of n consecutive words, from the words' hashes (none if there are fewer words).
+
+    Windows are put together from those of the powers of two in n."""
+    if len(h) < n:
         return np.empty(0, np.uint64)
-    out = np.zeros(size, np.uint64)
-    for j in range(n):
-        out = out * _BASE + h[j : j + size]
-    return mix(out + np.uint64(n))
+    part, width, out, have = h, 1, None, 0
+    while True:
+        if n & width:
+            size = len(h) - have - width + 1
+            out = part if out is None else part[:size] * np.uint64(pow(int(_BASE), have, 1 << 64)) + out[width : width + size]
+            have += width
+        if 2 * width > n:
+            return mix(out + np.uint64(n))
+        part = part[:-width] * np.uint64(pow(int(_BASE), width, 1 << 64)) + part[width:]
+        width *= 2
 
 
 def texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
