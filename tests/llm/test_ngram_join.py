@@ -54,6 +54,35 @@ def test_against_brute_force(spark):
         assert got == brute(rows), seed
 
 
+def test_long_lists_and_hubs(spark, monkeypatch):
+    """Lists cut into parts of two members, hubs of three pairs: nothing is lost."""
+    monkeypatch.setattr(N, "HUB", 3)
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(160):
+        own = list(base)
+        own[rng.randrange(60)] = f"x{i}"
+        rows.append(" ".join(own + ["tail"] * (i % 3)))
+    for i in range(40):
+        rows.append(" ".join(base[:14] + [f"q{i}_{k}" for k in range(rng.randrange(8, 60))]))
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bits in (1, 13):
+        prefixes = N._prefixes
+        monkeypatch.setattr(N, "_prefixes", lambda *a, b=bits, p=prefixes: p(*a).withColumn("parts", N.F.greatest(N.F.col("parts"), N.F.lit(40 if b == 1 else 1))))
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.link_documents(df).collect()}
+        monkeypatch.setattr(N, "_prefixes", prefixes)
+        assert got == brute(rows), bits
+
+
+def test_fragments_are_cuts_of_the_order():
+    ends = [int(e) for e in N.fragment_ends({3: 500, 5: 100}, 1600)]
+    # 1,000 n-grams of weight 0 are 10 sixteenths: the first cut at 3 lies among them, the second at 8 too.
+    assert [e >> 56 for e in ends] == [0, 0] and [round(e / (1 << 56), 3) for e in ends] == [0.3, 0.8]
+    assert [int(e) >> 56 for e in N.fragment_ends({3: 1500}, 1600)] == [3, 3] and len(N.fragment_ends({}, 0)) == 2
+
+
 def test_keep_one(spark):
     rows = near_copies(9)
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -2,13 +2,15 @@
 
 Documents with equal n-gram sets are one node from the start. The global n-gram order (rarer n-grams first, by a
 frequency sketch of fixed size, ties by hash) gives each node a prefix that must share an n-gram with the prefix of
-any node it links with. The order is cut into fragments by hash range; each candidate pair's overlap is counted
-fragment by fragment and summed per pair, which is exact.
+any node it links with. The order is cut into fragments, at places that give each its share of all n-grams; each candidate
+pair's overlap is counted fragment by fragment and summed per pair, which is exact. Nodes with very many pairs have
+copies of their fragments, so that their pairs share out.
 
 Candidates come in two rounds, so that a group of near copies doesn't cost a pair for every two of its members. Round
 one tries each member of an n-gram's posting list with the one before it and with the first, the least edited member
-(as many pairs as members). Round two takes every pair of a posting list whose members round one left in different components, so that
-no link that could join two components is missed. The order and the sketch decide the cost only, never the result."""
+(as many pairs as members). Lists of common n-grams are cut into parts, whose first members meet likewise. Round two takes
+every pair of a posting list of near enough sizes whose members round one left in different components, so that no link
+that could join two components is missed. The order and the sketch decide the cost only, never the result."""
 
 from __future__ import annotations
 
@@ -29,6 +31,10 @@ PART, WHOLE = 80, 100
 FRAGMENTS = (3, 5, 8)
 #: log2 of the frequency sketch's counters.
 SKETCH_BITS = 20
+#: log2 of the members, about, of a part of a posting list.
+PART_BITS = 13
+#: Pairs of one node from which on it has copies.
+HUB = 4096
 
 
 def gram_set(text: bytes, memo: WordHashes, n: int = WORDS) -> np.ndarray:
@@ -62,39 +68,60 @@ def _digests(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, weight, kind: str) -> DataFrame:
-    """Posting rows (gram, doc_id, size, at) of each document's prefix in the global order."""
+    """Posting rows (gram, parts, doc_id, size, at) of each document's prefix in the global order; parts: into how many the
+    n-gram's list is cut."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in pieces(batches, 16 << 20):
-            grams, row, size, at = [], [], [], []
+            grams, row, size, at, parts = [], [], [], [], []
             for i, text in enumerate(texts(batch["text"])):
                 s = gram_set(text, memo)
                 n = len(s)
                 if n:
                     keep = n - -(-PART * n // WHOLE) + 1
-                    order = np.argsort(weight.value[s >> np.uint64(64 - SKETCH_BITS)], kind="stable")[:keep]
+                    w = weight.value[s >> np.uint64(64 - SKETCH_BITS)]
+                    order = np.argsort(w, kind="stable")[:keep]
                     grams.append(s[order])
+                    parts.append(w[order])
                     row.append(np.full(keep, i))
                     size.append(np.full(keep, n))
                     at.append(np.arange(keep))
             if grams:
+                cut = np.int64(1) << np.maximum(np.concatenate(parts).astype(np.int64) - PART_BITS, 0)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(grams))), batch["doc_id"].take(pa.array(np.concatenate(row))), pa.array(np.concatenate(size)), pa.array(np.concatenate(at))],
-                    names=["gram", "doc_id", "size", "at"])
+                    [pa.array(signed(np.concatenate(grams))), pa.array(cut), batch["doc_id"].take(pa.array(np.concatenate(row))), pa.array(np.concatenate(size)), pa.array(np.concatenate(at))],
+                    names=["gram", "parts", "doc_id", "size", "at"])
 
-    return docs.mapInArrow(scan, f"gram long, doc_id {kind}, size long, at long")
+    return docs.mapInArrow(scan, f"gram long, parts long, doc_id {kind}, size long, at long")
 
 
-def _segments(docs: DataFrame, kind: str) -> DataFrame:
+def fragment_ends(mass: dict[int, int], total: int) -> np.ndarray:
+    """Places in the order (weight in the highest 8 bits, then the hash) at which fragments end, but the last; mass: n-grams
+    by weight, all others of total have weight 0, and hashes spread evenly."""
+    mass = {0: max(0, total - sum(mass.values())), **{w: n for w, n in mass.items() if w}}
+    ends, goals = [], [total * e / sum(FRAGMENTS) for e in np.cumsum(FRAGMENTS)[:-1]]
+    before = 0
+    for w, n in sorted(mass.items()):
+        while len(ends) < len(goals) and n and goals[len(ends)] <= before + n:
+            ends.append((w << 56) + min((1 << 56) - 1, int((goals[len(ends)] - before) / n * (1 << 56))))
+        before += n
+    return np.array(ends + [1 << 63] * (len(goals) - len(ends)), np.uint64)
+
+
+def _segments(docs: DataFrame, weight, ends: np.ndarray, kind: str) -> DataFrame:
     """Rows (doc_id, f0, f1, ...): each document's n-grams in each fragment of the order."""
-    ends = np.array([(int(e) << 60) for e in np.cumsum(FRAGMENTS)[:-1]], np.uint64)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in pieces(batches, 16 << 20):
-            sets = [gram_set(text, memo) for text in texts(batch["text"])]
-            cuts = [np.concatenate(([0], np.searchsorted(s, ends), [len(s)])) for s in sets]
+            sets, cuts = [], []
+            for text in texts(batch["text"]):
+                s = gram_set(text, memo)
+                place = weight.value[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
+                order = np.argsort(place, kind="stable")
+                sets.append(s[order])
+                cuts.append(np.concatenate(([0], np.searchsorted(place[order], ends), [len(s)])))
             columns = []
             for f in range(len(FRAGMENTS)):
                 own = [signed(s[c[f] : c[f + 1]]) for s, c in zip(sets, cuts)]
@@ -113,17 +140,29 @@ def _possible(n_x, at_x, shared_x, n_y, at_y, shared_y):
     return most * (WHOLE + PART) >= (n_x + n_y) * PART
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
+def _meet(pairs: DataFrame, segments: DataFrame, side: str, f: int) -> DataFrame:
+    """pairs with g<side>: the n-grams of fragment f of column `side`. Pairs of a hub go to copies of its segment."""
+    parts = F.ceil(F.count("*") / HUB).cast("long")
+    hubs = pairs.groupBy(side).agg(parts.alias("copies")).where("copies > 1")
+    # A hub for HUB pairs at most: a list that Spark sends if it is short.
+    own = segments.select(F.col("doc_id").alias(side), F.col(f"f{f}").alias(f"g{side}")).join(hubs, side, "left")
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
+    other = "b" if side == "a" else "a"
+    salted = pairs.join(hubs, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1)))).drop("copies")
+    return salted.join(own, [side, "salt"]).drop("salt")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, weight, ends: np.ndarray, kind: str, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of pairs (a, b, na, nb) that are similar enough: partial overlaps by fragment, summed per pair.
 
     Fragments go one after the other; pairs that couldn't reach the similarity if all n-grams to come were shared drop
     out, and theirs aren't moved any more."""
     ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    parts = scratch.keep(_segments(docs.join(small(ids, ids.count()), "doc_id", "left_semi"), kind), "segments")
+    parts = scratch.keep(_segments(docs.join(small(ids, ids.count()), "doc_id", "left_semi"), weight, ends, kind), "segments")
     # left_a, left_b: n-grams in the fragments to come.
     alive, old = pairs.select("*", F.lit(0).cast("long").alias("both"), F.col("na").alias("left_a"), F.col("nb").alias("left_b")), None
     for f in range(len(FRAGMENTS)):
-        met = alive.join(parts.select(F.col("doc_id").alias("a"), F.col(f"f{f}").alias("ga")), "a").join(parts.select(F.col("doc_id").alias("b"), F.col(f"f{f}").alias("gb")), "b")
+        met = _meet(_meet(alive, parts, "a", f), parts, "b", f)
         met = met.select("a", "b", "na", "nb", (F.col("both") + F.size(F.array_intersect("ga", "gb"))).alias("both"),
                          (F.col("left_a") - F.size("ga")).alias("left_a"), (F.col("left_b") - F.size("gb")).alias("left_b"))
         most = F.col("both") + F.least("left_a", "left_b")
@@ -147,8 +186,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scanned = scratch.keep(_digests(docs, kind), "digests")
     rows = scanned.where("bucket is null").select("doc_id", "n_shingles", "digest")
     sketch = scanned.where("bucket is not null").groupBy("bucket").agg(F.sum("seen").alias("seen")).where("seen > 7")
-    weights = dense(sketch.select(F.col("bucket").alias("i"), F.floor(F.log2("seen")).cast("long").alias("v")), SKETCH_BITS, np.uint8)
-    weight = spark.sparkContext.broadcast(weights)
+    sketch = scratch.keep(sketch.select(F.col("bucket").alias("i"), F.floor(F.log2("seen")).cast("long").alias("v"), "seen"), "sketch")
+    weight = spark.sparkContext.broadcast(dense(sketch.select("i", "v"), SKETCH_BITS, np.uint8))
+    mass = {r.v: r.n for r in sketch.groupBy("v").agg(F.sum("seen").alias("n")).collect()}  # 64 rows at most
+    ends = fragment_ends(mass, rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
 
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     classes = scratch.keep(classes.where("n > 1").select("digest", "class_id"), "classes")
@@ -157,20 +198,28 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = members.where("class_id <> doc_id").select("doc_id").distinct()
     single = docs.where("doc_id is not null").join(small(copies, members.where("class_id <> doc_id").count()), "doc_id", "left_anti")
 
-    # Postings that share their n-gram with another prefix, and how many of those each document has before.
-    in_list = W.partitionBy("gram").orderBy("doc_id")
-    met = _prefixes(single, weight, kind).select("*", F.lag("doc_id").over(in_list).alias("before"), F.lead("doc_id").over(in_list).alias("after"))
-    met = met.where("before is not null or after is not null").drop("before", "after")
+    # Postings that share their n-gram with another prefix, and how many of those each document has before. A list that is
+    # cut into parts stays whole here, which only makes the bound a weaker one.
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")
+    in_list = W.partitionBy("gram", "part").orderBy("doc_id")
+    met = _prefixes(single, weight, kind).select("*", part).select("*", F.lag("doc_id").over(in_list).alias("before"), F.lead("doc_id").over(in_list).alias("after"))
+    met = met.where("before is not null or after is not null or parts > 1").drop("before", "after")
     posted = scratch.keep(met.withColumn("shared", F.row_number().over(W.partitionBy("doc_id").orderBy("at")).cast("long") - 1), "postings")
     # Members with the fewest n-grams of their own come first: the least edited of near copies is the hub.
-    plain = W.partitionBy("gram").orderBy(F.col("at") - F.col("shared"), "size", "doc_id")
     member = F.struct("doc_id", "size", "at", "shared")
-    star = posted.select("*", F.lag(member).over(plain).alias("before"), F.first(member).over(plain).alias("hub"))
-    star = star.select("doc_id", "size", "at", "shared", F.explode(F.array("before", "hub")).alias("x")).where(F.col("x").isNotNull() & (F.col("x.doc_id") != F.col("doc_id")))
-    star = star.where(_possible(*(F.col(c) for c in ("size", "at", "shared", "x.size", "x.at", "x.shared")))).select(
-        F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("x.size").alias("na"), F.col("size").alias("nb"))
+
+    def tried_with_neighbours(rows: DataFrame, *keys: str) -> DataFrame:
+        plain = W.partitionBy(*keys).orderBy(F.col("at") - F.col("shared"), "size", "doc_id")
+        star = rows.select("*", F.lag(member).over(plain).alias("before"), F.first(member).over(plain).alias("hub"))
+        star = star.select("doc_id", "size", "at", "shared", F.explode(F.array("before", "hub")).alias("x")).where(F.col("x").isNotNull() & (F.col("x.doc_id") != F.col("doc_id")))
+        return star.where(_possible(*(F.col(c) for c in ("size", "at", "shared", "x.size", "x.at", "x.shared")))).select(
+            F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("x.size").alias("na"), F.col("size").alias("nb"))
+
+    firsts = F.row_number().over(W.partitionBy("gram", "part").orderBy(F.col("at") - F.col("shared"), "size", "doc_id"))
+    heads = posted.where("parts > 1").withColumn("r", firsts).where("r = 1").drop("r")
+    star = tried_with_neighbours(posted, "gram", "part").unionByName(tried_with_neighbours(heads, "gram"))
     tried = scratch.keep(_ordered(star).distinct(), "star")
-    links = _verified(tried, docs, kind, scratch)
+    links = _verified(tried, docs, weight, ends, kind, scratch)
     found = components(links, scratch)
 
     own = scratch.keep(posted.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
@@ -178,13 +227,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = own.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("gram")
     open_ = scratch.keep(own.join(mixed, "gram"), "open")
     scratch.drop(own, posted)
-    x, y = (open_.select("gram", *(F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "size", "at", "shared", "c"))) for s in "xy")
-    cross = x.join(y, (x.gram == y.gram) & (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y"))
+    # Sizes of a linked pair lie within PART / WHOLE of each other, so in the same class of that width or the next.
+    step = F.floor(F.log("size") / np.log(WHOLE / PART)).cast("long")
+    x, y = (open_.select("gram", c.alias("step"), *(F.col(k).alias(f"{k}_{s}") for k in ("doc_id", "size", "at", "shared", "c")))
+            for s, c in (("x", step), ("y", F.explode(F.sequence(step - 1, step + 1)))))
+    cross = x.join(y, (x.gram == y.gram) & (x.step == y.step) & (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y"))
                    & _possible(*(F.col(f"{k}_{s}") for s in "xy" for k in ("size", "at", "shared"))))
     cross = cross.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"), F.col("size_x").alias("na"), F.col("size_y").alias("nb")).distinct()
     cross = scratch.keep(cross.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "cross")
     if not cross.isEmpty():
-        more = _verified(cross, docs, kind, scratch)
+        more = _verified(cross, docs, weight, ends, kind, scratch)
         if not more.isEmpty():
             found = components(links.unionByName(more), scratch)
     found = scratch.keep(found, "components")
