@@ -31,8 +31,8 @@ from .common import Scratch, WordHashes, pieces, read_table, signed, texts
 DEPTH = 5
 #: Rows of the gram table up to which it is sent to the tasks (some 50 bytes each in a worker's memory).
 MODEL_ROWS = 3_000_000
-#: Bytes of text in a batch that joins its grams.
-BATCH = 8 << 20
+#: Bytes of text in a batch that joins its grams, about.
+BATCH = 32 << 20
 #: Words whose counts are sent to the tasks.
 HEAD_WORDS = 1_000_000
 END = b"\xff"
@@ -367,20 +367,16 @@ def _by_document(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _joined(told: DataFrame, model: DataFrame) -> DataFrame:
     """(uid, lm): the sums for batches whose grams are joined; no more than a batch's texts and grams meet in a task."""
-    found = told.select("batch", F.explode("grams").alias("key")).join(model, "key").select(F.col("batch").alias("of"), "key", "logp")
+    found = told.where("grams is not null").select("batch", F.explode("grams").alias("key")).join(model, "key").select(F.col("batch").alias("of"), "key", "logp")
 
     def add(docs: pa.Table, found: pa.Table) -> pa.Table:
-        keys = found["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, logp = keys[order], found["logp"].to_numpy()[order]
-        out = []
-        own = [t.as_py() for t in docs["text"]]
-        for i in range(0, len(own), 256):
-            g, size = grams(own[i : i + 256])
-            out.append(_by_document(logp[np.searchsorted(keys, g)], size))
+        model, out, own = Lookup(found["key"].to_numpy().view(np.uint64), found["logp"].to_numpy()), [], docs["text"].combine_chunks()
+        for i in range(0, len(own), 1024):
+            g, size = grams(own[i : i + 1024].to_pylist())
+            out.append(_by_document(model.get(g)[0], size))
         return pa.table({"uid": docs["uid"], "lm": np.concatenate(out or [np.empty(0)])})
 
-    return told.select("batch", "uid", "text").groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(add, "uid long, lm double")
+    return told.where("uid is not null").select("batch", "uid", "text").groupBy("batch").cogroup(found.groupBy("of")).applyInArrow(add, "uid long, lm double")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -411,7 +407,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, uid = WordHashes(), TaskContext.get().partitionId() << 40
-        for batch in pieces(batches, BATCH if table is None else 4 << 20):
+        own, named, room, last = uid, np.empty(0, np.uint64), BATCH, None
+
+        def names() -> pa.RecordBatch:
+            """A row that names the distinct grams of batch `own`."""
+            columns = {f.name: pa.nulls(1, f.type) for f in last.schema}
+            columns |= {"batch": pa.array([own]), "grams": pa.array([signed(named)], pa.list_(pa.int64()))}
+            return pa.RecordBatch.from_arrays(list(columns.values()), schema=last.schema)
+
+        for batch in pieces(batches, 4 << 20):
             n = batch.num_rows
             lower = [t.lower() for t in texts(batch["text"])]
             of = [np.append(memo.of(t.split()), np.uint64(END_WORD)) for t in lower]
@@ -423,26 +427,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             known = np.bincount(row, there, n).astype(np.int64)
             rare = np.flatnonzero(~there)
             rare_ends = np.searchsorted(rare, ends).astype(np.int32)
+            keys, size = grams(lower)
             if table is not None:
-                keys, size = grams(lower)
-                lm, text, gram_list = pa.array(_by_document(table.value.get(keys)[0], size)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))
+                sums, text = pa.array(_by_document(table.value.get(keys)[0], size)), pa.nulls(n, pa.binary())
             else:
-                # The batch's first row names its grams.
-                keys = np.unique(grams(lower)[0])
-                lm, text = pa.nulls(n, pa.float64()), pa.array(lower, pa.binary())
-                gram_list = pa.ListArray.from_arrays(pa.array(np.append(0, np.full(n, len(keys))).astype(np.int32)), pa.array(signed(keys)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.arange(uid, uid + n)), pa.array(np.full(n, uid)), batch["doc_id"], pa.array([held_out(i) for i in batch["doc_id"].to_pylist()]),
-                pa.array(np.diff(ends)), pa.array(known), pa.array(base), lm, pa.array([len(t) for t in lower], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(signed(h[rare]))), text, gram_list,
+                sums, text = pa.nulls(n, pa.float64()), pa.array(lower, pa.binary())
+                named, room = np.union1d(named, keys), room - len(keys)
+            last = pa.RecordBatch.from_arrays([
+                pa.array(np.arange(uid, uid + n)), pa.array(np.full(n, own)), batch["doc_id"], pa.array([held_out(i) for i in batch["doc_id"].to_pylist()]),
+                pa.array(np.diff(ends)), pa.array(known), pa.array(base), sums, pa.array([len(t) for t in lower], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(rare_ends), pa.array(signed(h[rare]))), text, pa.nulls(n, pa.list_(pa.int64())),
             ], names=["uid", "batch", "doc_id", "held_out", "n_tokens", "known", "base", "lm", "n_bytes", "rare", "text", "grams"])
+            yield last
             uid += n
+            if room <= 0:
+                yield names()
+                own, named, room = uid, named[:0], BATCH
+        if len(named):
+            yield names()
 
     told = scratch.keep(docs.mapInArrow(scan, f"uid long, batch long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, lm double, n_bytes long, rare array<long>, text binary, grams array<long>"), "told")
     rare = told.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("k"))
     rare = rare.join(words.where(F.col("n") < F.lit(1 << power)) if power < 63 else words, "key", "left").groupBy("uid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rare_known"))
-    out = told.drop("rare", "text", "grams").join(rare, "uid", "left")
+    out = told.where("uid is not null").drop("rare", "text", "grams").join(rare, "uid", "left")
     if table is None:
         out = out.drop("lm").join(_joined(told, model), "uid")
     log10 = F.col("lm") / math.log(10)
