@@ -53,6 +53,20 @@ def test_recall(spark, monkeypatch):
     assert recall(spark, v) >= 0.95
 
 
+def test_contrasted_vectors_verify_few_points(spark, monkeypatch):
+    """Clusters far apart: a query's neighbours are in one, and the test stops before the others."""
+    monkeypatch.setattr(N, "CELL", 100)
+    monkeypatch.setattr(N, "LEAF", 20)
+    monkeypatch.setattr(N, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 32))
+    centres *= 20 / np.linalg.norm(centres, axis=1, keepdims=True)
+    v = centres[rng.integers(0, 30, 2400)] + rng.normal(size=(2400, 32)) * 0.3
+    stats = {}
+    assert recall(spark, v, stats=stats) >= 0.9
+    assert stats["verified"] < 1 / 3 and stats["rounds"] > 1
+
+
 def test_given_vectors(spark, sf):
     v = np.array([r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()], np.float32)
     assert recall(spark, v) >= 0.95

@@ -7,10 +7,12 @@ best distance is d_k, points whose squared projected distance exceeds d_k^2 time
 can be left out: each true neighbour is then found with at least that probability.
 
 A kd-tree fitted to a sample of at most SAMPLE projections cuts the points into cells; every point is indexed in one.
-The sample also gives each query a first d_k. Queries go to the cells that their radius reaches. In a cell, a task
-splits the points further, visits each query's leaves in order of distance, verifies points within the radius on the
-original vectors, tightens d_k after each leaf and stops when the next leaf lies beyond the radius. Equal vectors are
-one point with their k + 1 smallest ids."""
+The sample also gives each query a first d_k. A query visits cells in the order of their distance, in rounds: the nearest
+first, then ever more of the next, each round with the d_k that the rounds before have found, until the next cell lies
+beyond its radius. In a cell, a task splits the points further, visits each query's leaves in order of distance, verifies
+points within the radius on the original vectors, tightens d_k after each leaf and stops when the next leaf lies beyond the
+radius. A cell's points are copied only for every BLOCK queries that visit it. Equal vectors are one point with their
+k + 1 smallest ids."""
 
 from __future__ import annotations
 
@@ -29,6 +31,8 @@ CONFIDENCE = 0.97
 SAMPLE, PROBES = 65_536, 2048
 #: Points in a cell and in a leaf, queries in a block.
 CELL, LEAF, BLOCK = 4096, 256, 8192
+#: Cells that a query visits in its first round, and how many times more in each round after it.
+VISITS, GROWTH = 1, 8
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -134,7 +138,8 @@ class Space:
 
 
 def search_cell(space: Space, vectors, q, bound, k: int, reach: float):
-    """(query, point, score) rows: each query's k best points of a cell among those within its radius."""
+    """(query, point, score) arrays: each query's k best points of a cell among those within its radius; and the number of
+    points verified, over all queries."""
     points, own = space.points(vectors), space.queries(q)
     lengths = (q**2).sum(axis=1)
     tree = split(points, LEAF)
@@ -145,7 +150,7 @@ def search_cell(space: Space, vectors, q, bound, k: int, reach: float):
     order = np.argsort(gap, axis=1)
     top = np.full((len(q), k), -np.inf)
     at = np.full((len(q), k), -1)
-    alive = np.arange(len(q))
+    alive, verified = np.arange(len(q)), 0
     for turn in range(n):
         radius = space.squared(np.maximum(top.min(axis=1), bound), lengths) * reach
         alive = alive[gap[alive, order[alive, turn]] <= radius[alive]]
@@ -156,6 +161,7 @@ def search_cell(space: Space, vectors, q, bound, k: int, reach: float):
             rows, ps = alive[now == i], members[i]
             # The projected distances say which points to verify on the original vectors.
             near = ((own[rows] ** 2).sum(axis=1)[:, None] + (points[ps] ** 2).sum(axis=1)[None, :] - 2 * own[rows] @ points[ps].T) <= radius[rows][:, None]
+            verified += int(near.sum())
             scores = np.where(near, q[rows] @ vectors[ps].T, -np.inf)
             scores = np.concatenate([top[rows], scores], axis=1)
             where = np.concatenate([at[rows], np.broadcast_to(ps, (len(rows), len(ps)))], axis=1)
@@ -163,7 +169,7 @@ def search_cell(space: Space, vectors, q, bound, k: int, reach: float):
             top[rows], at[rows] = np.take_along_axis(scores, keep, 1), np.take_along_axis(where, keep, 1)
     row, column = np.nonzero((at >= 0) & (top >= bound[:, None] - 1e-9))
     point = at[row, column]
-    return row, point, (q[row] * vectors[point]).sum(axis=1)
+    return row, point, (q[row] * vectors[point]).sum(axis=1), verified
 
 
 def _valid(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -177,13 +183,14 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", m: int = DIMENSIONS,
-            confidence: float = CONFIDENCE) -> DataFrame:
+            confidence: float = CONFIDENCE, stats: dict | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of base with the largest inner products found for each row of queries,
     in double precision, without the row of the query's own id.
 
     Ids are whole numbers, and unique in each table (a repeated id competes with its repeats). Vectors that are null,
     all zero or hold null or non-finite components take no part, nor do rows with a null id or vectors of another
-    length than most of base have. Ties go to the smaller id. A query gets fewer rows if there are fewer candidates; an empty side gives an empty
+    length than most of base have. stats: gets the number of rounds and the share of all pairs of a query and a point that
+    were verified. Ties go to the smaller id. A query gets fewer rows if there are fewer candidates; an empty side gives an empty
     result. Other columns are ignored."""
     spark = base.sparkSession
     scratch = Scratch(spark, "neighbours")
@@ -217,18 +224,25 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
                 yield pa.RecordBatch.from_arrays([pa.array(cell), batch["point"], batch["v"]], names=["cell", "key", "v"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's first d_k, and the cells within its radius in order of distance."""
         space, cells, n_cells, probes, copies, _ = sent.value
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+        step = max(1, min(1024, (1 << 22) // n_cells))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             q = _matrix(batch["v"], dim)
             scores = q @ probes.T
             # The k-th best of the sample, copies counted, with one to spare for the query itself.
             order = np.argsort(-scores, axis=1)
             enough = np.argmax(np.cumsum(copies[order], axis=1) >= k + 1, axis=1)
             bound = np.where(copies.sum() >= k + 1, scores[np.arange(len(q)), order[np.arange(len(q)), enough]], -np.inf)
-            radius = space.squared(bound, (q**2).sum(axis=1)) * reach
-            row, cell = np.nonzero(leaf_distances(cells, space.queries(q), n_cells) <= radius[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch["query"].take(pa.array(row)), batch["v"].take(pa.array(row)), pa.array(bound[row])],
-                                             names=["cell", "key", "v", "bound"])
+            lengths = (q**2).sum(axis=1)
+            gap = leaf_distances(cells, space.queries(q), n_cells)
+            near = np.argsort(gap, axis=1, kind="stable")
+            gap = np.take_along_axis(gap, near, 1)
+            inside = (gap <= (space.squared(bound, lengths) * reach)[:, None]).sum(axis=1)
+            pick = np.arange(n_cells)[None, :] < inside[:, None]
+            ends = pa.array(np.concatenate(([0], np.cumsum(inside))).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch["query"], batch["v"], pa.array(lengths), pa.array(bound), pa.ListArray.from_arrays(ends, pa.array(near[pick])), pa.ListArray.from_arrays(ends, pa.array(gap[pick]))],
+                                             names=["query", "v", "length", "bound", "cells", "gaps"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probes, _, names = sent.value[3:]
@@ -239,29 +253,49 @@ def nearest(base: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
             yield pa.RecordBatch.from_arrays([batch["query"].take(pa.array(row)), pa.array(names[at.ravel()]), pa.array((q[row] * probes[at.ravel()]).sum(axis=1))],
                                              names=["query", "point", "score"])
 
-    blocks = max(1, -(-n_queries // BLOCK))
-    indexed = points.mapInArrow(index, "cell long, key long, v array<double>")
-    indexed = indexed.select("cell", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(0).alias("side"), "key", "v", F.lit(0.0).alias("bound"))
-    routed = one.mapInArrow(route, "cell long, key long, v array<double>, bound double").select(
-        "cell", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("side"), "key", "v", "bound")
-
     def search(key: tuple, group: pa.Table) -> pa.Table:
         side = group["side"].to_numpy()
         keys, v, bound = group["key"].to_numpy(), _matrix(group["v"].combine_chunks(), dim), group["bound"].to_numpy()
         p, q = side == 0, side == 1
         if not p.any() or not q.any():
-            return pa.table({"query": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        row, point, score = search_cell(sent.value[0], v[p], v[q], bound[q], k + 1, reach)
-        return pa.table({"query": keys[q][row], "point": keys[p][point], "score": score})
-
-    # A group is a cell's points, about CELL of them, and a block of queries.
-    found = indexed.unionByName(routed).groupBy("cell", "block").applyInArrow(search, "query long, point long, score double")
-    # The sample's best are verified too, so that a query has k rows if there are k candidates at all. They may come
-    # twice, with equal scores, and then share a rank.
-    found = found.unionByName(one.mapInArrow(probe, "query long, point long, score double"))
-    by_point = found.withColumn("r", F.dense_rank().over(W.partitionBy("query").orderBy(F.desc("score"), "point"))).where(F.col("r") <= k + 1)
-    pairs = by_point.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
-    pairs = pairs.withColumn("r", F.dense_rank().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
+            return pa.table({"query": pa.array([], pa.int64()), "point": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "verified": pa.array([], pa.int64())})
+        row, point, score, verified = search_cell(sent.value[0], v[p], v[q], bound[q], k + 1, reach)
+        # One row more counts the points verified.
+        return pa.table({"query": pa.array([*keys[q][row], None], pa.int64()), "point": pa.array([*keys[p][point], None], pa.int64()), "score": pa.array([*score, None], pa.float64()),
+                         "verified": pa.array([None] * len(row) + [verified], pa.int64())})
+
+    indexed = scratch.keep(points.mapInArrow(index, "cell long, key long, v array<double>"), "indexed")
+    waiting = scratch.keep(one.mapInArrow(route, "query long, v array<double>, length double, bound double, cells array<long>, gaps array<double>").withColumn("at", F.lit(0)), "waiting")
+    # The sample's best are verified too, so that a query has k rows if there are k candidates at all.
+    top = scratch.keep(one.mapInArrow(probe, "query long, point long, score double"), "top")
+    ranked = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "point"))
+    visits, verified, rounds = VISITS, 0, 0
+    while True:
+        radius = F.greatest(F.col("length") + F.lit(space.longest**2) - 2 * F.col("bound"), F.lit(0.0)) * F.lit(reach)
+        waiting = waiting.withColumn("now", F.filter(F.slice("cells", F.col("at") + 1, F.lit(visits)), lambda c, i: F.get("gaps", F.col("at") + i) <= radius)).where(F.size("now") > 0)
+        asked_now = scratch.keep(waiting, "asking")
+        going = asked_now.select(F.explode("now").alias("cell"), F.col("query").alias("key"), "v", "bound")
+        # As many copies of a cell's points as blocks of queries visit it; there are at most SAMPLE cells.
+        blocks = scratch.keep(going.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+        if blocks.isEmpty():
+            break
+        side = indexed.join(F.broadcast(blocks), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"), "key", "v", F.lit(0.0).alias("bound"))
+        going = going.join(F.broadcast(blocks), "cell").select("cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("side"), "key", "v", "bound")
+        # A group is a cell's points, about CELL of them, and a block of queries.
+        found = scratch.keep(side.unionByName(going).groupBy("cell", "block").applyInArrow(search, "query long, point long, score double, verified long"), "found")
+        if stats is not None:
+            verified += found.agg(F.sum("verified")).first()[0] or 0
+        both = top.unionByName(found.where("query is not null").drop("verified")).groupBy("query", "point").agg(F.max("score").alias("score"))
+        new = scratch.keep(both.withColumn("r", ranked).where(F.col("r") <= k + 1).drop("r"), "top")
+        tight = new.groupBy("query").agg(F.when(F.count("*") > k, F.min("score")).alias("d"))
+        left = asked_now.withColumn("at", F.col("at") + visits).where(F.size("cells") > F.col("at")).join(tight, "query", "left")
+        waiting_now = scratch.keep(left.select("query", "v", "length", F.greatest("bound", F.coalesce("d", "bound")).alias("bound"), "cells", "gaps", "at"), "waiting")
+        scratch.drop(asked_now, blocks, found, top)
+        waiting, top, visits, rounds = waiting_now, new, visits * GROWTH, rounds + 1
+    if stats is not None:
+        stats |= {"rounds": rounds, "verified": verified / max(1, n * n_queries)}
+    pairs = top.join(points.select("point", "ids"), "point").select("query", "score", F.explode("ids").alias("vec_id"))
+    pairs = pairs.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = scratch.keep(pairs.groupBy("query").agg(F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("found")), "found")
     of = asked.join(one, "v").select(F.col("id").alias("query_id"), "query").join(lists, "query")
     own = F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
