@@ -8,8 +8,8 @@ Unconditional changes are prefix sums. Conditional ones, also over several keys
 of which transactions commit, prefix sums give every balance read, and these give the next guess. A transaction whose
 predecessors are all guessed right comes out right, so the first wrong one moves on with every round, and the only
 fixed point is the serial result. Rounds go on until no guess changes; each is a shuffle by key, with no key, chain or
-component gathered in one task. What lies before the first wrong guess is settled: it is written once, its sums go into
-the balances that the rest starts from, and later rounds run over the rest."""
+component gathered in one task. What lies before the first wrong guess is settled: its sums go into the balances that the
+rest starts from, and later rounds run over the rest."""
 
 from __future__ import annotations
 
@@ -75,7 +75,7 @@ def settle(legs: DataFrame, accounts: DataFrame, commits: Column, keys: tuple[st
     whole = W.partitionBy("bid")
     done = []
     while True:
-        read = prefix_sum(guess.withColumn("__delta", F.when(F.col("__ok"), F.col("delta"))), keys, "__delta", "__before")
+        read = prefix_sum(guess.withColumn("__delta", F.when(F.col("__ok"), F.col("delta"))), keys, "__delta", "__before", span=None if low is None else high - low + 1)
         read = read.withColumn("seen", F.col("__base") + F.col("__before")).drop("__before", "__delta")
         # The legs that decide tell the others of their transaction.
         holds = F.when(F.col("decides"), F.coalesce(commits, F.lit(False)))
@@ -91,21 +91,17 @@ def settle(legs: DataFrame, accounts: DataFrame, commits: Column, keys: tuple[st
             for part in done[1:]:
                 out = out.unionByName(part)
             return out
-        guess = read.withColumn("__ok", F.col("__now"))
+        guess = read.select(*own, "__base", F.col("__now").alias("__ok"))
         if first - low >= SETTLED * (high - low):
-            # Transactions below the first wrong guess, and that one itself, have their final result.
-            part, _ = rounds.keep(guess.where(F.col("bid") <= first).select(*own, "seen", F.col("__now").alias("committed")))
+            # Transactions below the first wrong guess, and that one itself, have their final result; this round's table stays.
+            part = read.where(F.col("bid") <= first).select(*own, "seen", F.col("__now").alias("committed"))
             done.append(part)
             sums = part.where("committed").groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.sum("delta").alias("__moved"))
             same = F.lit(True)
             for i, k in enumerate(keys):
                 same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-            rest = guess.where(F.col("bid") > first).join(sums, same, "left").withColumn("__base", F.col("__base") + F.coalesce("__moved", F.lit(0)))
-            guess, new = rounds.keep(rest.select(*own, "__base", "__ok"))
-            rounds.drop(path)
-            path, low = new, first
-        else:
-            guess = guess.select(*own, "__base", "__ok")
+            guess = guess.where(F.col("bid") > first).join(sums, same, "left").withColumn("__base", F.col("__base") + F.coalesce("__moved", F.lit(0))).select(*own, "__base", "__ok")
+            path, low = None, first
 
 
 def withdrawals(events: DataFrame, accounts: DataFrame) -> DataFrame:

@@ -82,11 +82,16 @@ def compact(log: DataFrame, keys: list[str], value: str = "value", bid: str = "b
     return log.groupBy(*keys).agg(F.max_by(value, bid).alias(value)).select(*keys, F.lit(BASE).cast("long").alias(bid), value)
 
 
-def prefix_sum(rows: DataFrame, keys: list[str], value: str, out: str, bid: str = "bid", width: int = WIDTH) -> DataFrame:
+def prefix_sum(rows: DataFrame, keys: list[str], value: str, out: str, bid: str = "bid", width: int = WIDTH, span: int | None = None) -> DataFrame:
     """rows with `out`: the sum of `value` over the key's rows with smaller bids (0 if none; nulls add nothing).
 
+    span: a bound of how far the bids lie apart, if it is known; within one range there is nothing to add up.
+
     Bids are cut into ranges of `width`: sums per key and range are aggregated before they are shuffled and added up over
     ranges, and rows are ordered within a key's range only."""
+    if span is not None and span <= width:
+        before = W.partitionBy(*keys).orderBy(bid).rangeBetween(W.unboundedPreceding, -1)
+        return rows.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
     cut = rows.withColumn("__range", F.floor(F.col(bid) / width).cast("long"))
     totals = cut.groupBy(*keys, "__range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("__total"))
     earlier = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
