@@ -37,3 +37,16 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
         else:
             library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
             assert {r.doc_id: r.doc_tokens for r in after} == {d: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for d, r in before.items()}
+
+
+def test_stages_on_odd_rows_and_none(spark, odd, sf):
+    """Nulls, empty and long texts, repeated rows and clashing names in every stage; then a table without rows."""
+    docs = odd.selectExpr("*", "cast(null as string) source")
+    for rows, kept in ((docs, {"toxicity": 11, "line_dedup": 11, "ngram_join": 9, "decontamination": 11}), (docs.limit(0), {})):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, sf)
+            if name == "packing":
+                assert {r.doc_id for r in out.collect()} == {r.doc_id for r in rows.collect()}
+            else:
+                assert out.columns == rows.columns and out.count() == kept.get(name, 0), name
+                assert {(r.doc_id, r.n_words) for r in out.collect()} <= {(r.doc_id, r.n_words) for r in rows.collect()}
