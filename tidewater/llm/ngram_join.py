@@ -140,15 +140,21 @@ def _possible(n_x, at_x, shared_x, n_y, at_y, shared_y):
     return most * (WHOLE + PART) >= (n_x + n_y) * PART
 
 
-def _meet(pairs: DataFrame, segments: DataFrame, side: str, f: int) -> DataFrame:
+def _hubs(pairs: DataFrame, side: str, scratch: Scratch) -> DataFrame | None:
+    """(side, copies): ids with more than HUB pairs, so many copies of which share them out; None if there are none."""
+    hubs = scratch.keep(pairs.groupBy(side).agg(F.ceil(F.count("*") / HUB).cast("long").alias("copies")).where("copies > 1"), "hubs")
+    n = hubs.count()
+    return small(hubs, n) if n else None
+
+
+def _meet(pairs: DataFrame, segments: DataFrame, side: str, f: int, hubs: DataFrame | None) -> DataFrame:
     """pairs with g<side>: the n-grams of fragment f of column `side`. Pairs of a hub go to copies of its segment."""
-    parts = F.ceil(F.count("*") / HUB).cast("long")
-    hubs = pairs.groupBy(side).agg(parts.alias("copies")).where("copies > 1")
-    # A hub for HUB pairs at most: a list that Spark sends if it is short.
-    own = segments.select(F.col("doc_id").alias(side), F.col(f"f{f}").alias(f"g{side}")).join(hubs, side, "left")
-    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1))).drop("copies")
-    other = "b" if side == "a" else "a"
-    salted = pairs.join(hubs, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1)))).drop("copies")
+    own = segments.select(F.col("doc_id").alias(side), F.col(f"f{f}").alias(f"g{side}"))
+    if hubs is None:
+        return pairs.join(own, side)
+    copies, other = F.coalesce("copies", F.lit(1).cast("long")), "b" if side == "a" else "a"
+    own = own.join(hubs, side, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("copies")
+    salted = pairs.join(hubs, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), copies)).drop("copies")
     return salted.join(own, [side, "salt"]).drop("salt")
 
 
@@ -159,10 +165,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, weight, ends: np.ndarray, kind:
     out, and theirs aren't moved any more."""
     ids = scratch.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     parts = scratch.keep(_segments(docs.join(small(ids, ids.count()), "doc_id", "left_semi"), weight, ends, kind), "segments")
+    hubs = {side: _hubs(pairs, side, scratch) for side in "ab"}
     # left_a, left_b: n-grams in the fragments to come.
     alive, old = pairs.select("*", F.lit(0).cast("long").alias("both"), F.col("na").alias("left_a"), F.col("nb").alias("left_b")), None
     for f in range(len(FRAGMENTS)):
-        met = _meet(_meet(alive, parts, "a", f), parts, "b", f)
+        met = _meet(_meet(alive, parts, "a", f, hubs["a"]), parts, "b", f, hubs["b"])
         met = met.select("a", "b", "na", "nb", (F.col("both") + F.size(F.array_intersect("ga", "gb"))).alias("both"),
                          (F.col("left_a") - F.size("ga")).alias("left_a"), (F.col("left_b") - F.size("gb")).alias("left_b"))
         most = F.col("both") + F.least("left_a", "left_b")
