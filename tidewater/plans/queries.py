@@ -350,11 +350,11 @@ def stream_mixed_ledger(spark, sf, epochs: int = 3):
 
 @query("non_deterministic_write", f"""
 WITH RECURSIVE n AS (SELECT max(user_id) + 1 AS n FROM events),
-o AS (SELECT key, bid, value AS v, row_number() OVER (ORDER BY bid) AS rn FROM {_LOG}),
+o AS MATERIALIZED (SELECT key, bid, value AS v, row_number() OVER (ORDER BY bid) AS rn FROM {_LOG}),
 r(rn, bid, key, seen, target, balance, n, st) AS (
   SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::BIGINT, n, list_transform(range(n), lambda x: 0::BIGINT) FROM n
-  UNION ALL SELECT o.rn, o.bid, o.key, x.seen, x.target, st[x.target + 1] + o.v, r.n, list_transform(st, lambda y, i: CASE WHEN i = x.target + 1 THEN y + o.v ELSE y END)
-  FROM r JOIN o ON o.rn = r.rn + 1, LATERAL (SELECT st[o.key + 1] AS seen, CASE WHEN st[o.key + 1] > 5000000 THEN st[o.key + 1] % r.n ELSE o.key END AS target) x)
+  UNION ALL SELECT rn, bid, key, seen, target, st[target + 1] + v, n, list_transform(st, lambda y, i: CASE WHEN i = target + 1 THEN y + v ELSE y END)
+  FROM (SELECT o.rn, o.bid, o.key, o.v, r.n, st, st[o.key + 1] AS seen, CASE WHEN st[o.key + 1] > 5000000 THEN st[o.key + 1] % r.n ELSE o.key END AS target FROM r JOIN o ON o.rn = r.rn + 1))
 SELECT bid, key, seen, target, balance FROM r WHERE rn > 0""")
 def non_deterministic_write(spark, sf):
     """An event adds its value to its own key, or, where it finds more than 50,000 there, to the key that the balance
