@@ -283,7 +283,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for y in (0, 1)]
     # At most 2 * SAMPLE ids.
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(chosen, "doc_id")
+    # In order, a sixteenth at a time, so that the driver never holds all texts that might be sampled.
+    rows = rows.repartitionByRange(16, F.xxhash64("doc_id"), "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
     sample, room, seen = [], SAMPLE_BYTES, set()
     for r in rows.toLocalIterator():
         if (key := (xxh3_64_intdigest(bytes(r.text)), r.toxic)) not in seen and len(r.text) <= room:
