@@ -77,10 +77,10 @@ def test_long_lists_and_hubs(spark, monkeypatch):
 
 
 def test_fragments_are_cuts_of_the_order():
-    ends = [int(e) for e in N.fragment_ends({3: 500, 5: 100}, 1600)]
-    # 1,000 n-grams of weight 0 are 10 sixteenths: the first cut at 3 lies among them, the second at 8 too.
-    assert [e >> 56 for e in ends] == [0, 0] and [round(e / (1 << 56), 3) for e in ends] == [0.3, 0.8]
-    assert [int(e) >> 56 for e in N.fragment_ends({3: 1500}, 1600)] == [3, 3] and len(N.fragment_ends({}, 0)) == 2
+    ends = [int(e) for e in N.fragment_ends({0: 9, 3: 500, 5: 100})]
+    # The others begin at weight 3; half of their 600 n-grams are three fifths of that weight's.
+    assert ends[0] == 1 << 56 and ends[1] >> 56 == 3 and round((ends[1] & (1 << 56) - 1) / (1 << 56), 3) == 0.6
+    assert len(N.fragment_ends({})) == N.FRAGMENTS - 1 and int(N.fragment_ends({3: 5, 7: 100})[1]) >> 56 == 7
 
 
 def test_keep_one(spark):

@@ -2,9 +2,9 @@
 
 Documents with equal n-gram sets are one node from the start. The global n-gram order (rarer n-grams first, by a
 frequency sketch of fixed size, ties by hash) gives each node a prefix that must share an n-gram with the prefix of
-any node it links with. The order is cut into fragments, at places that give each its share of all n-grams; each candidate
-pair's overlap is counted fragment by fragment and summed per pair, which is exact. Nodes with very many pairs have
-copies of their fragments, so that their pairs share out.
+any node it links with. The order is cut into fragments: the rarest n-grams, among which are the edits of near copies, and
+two halves of the others. Each candidate pair's overlap is counted fragment by fragment and summed per pair, which is exact.
+Nodes with very many pairs have copies of their fragments, so that their pairs share out.
 
 Candidates come in two rounds, so that a group of near copies doesn't cost a pair for every two of its members. Round
 one tries each member of an n-gram's posting list with the one before it and with the first, the least edited member
@@ -27,8 +27,8 @@ from .components import components
 WORDS = 5
 #: Similarity as a ratio of whole numbers: linked if PART * union <= WHOLE * intersection.
 PART, WHOLE = 80, 100
-#: Sixteenths of the order in each fragment.
-FRAGMENTS = (3, 5, 8)
+#: Fragments of the order.
+FRAGMENTS = 3
 #: log2 of the frequency sketch's counters.
 SKETCH_BITS = 20
 #: log2 of the members, about, of a part of a posting list.
@@ -96,17 +96,15 @@ def _prefixes(docs: DataFrame, weight, kind: str) -> DataFrame:
     return docs.mapInArrow(scan, f"gram long, parts long, doc_id {kind}, size long, at long")
 
 
-def fragment_ends(mass: dict[int, int], total: int) -> np.ndarray:
-    """Places in the order (weight in the highest 8 bits, then the hash) at which fragments end, but the last; mass: n-grams
-    by weight, all others of total have weight 0, and hashes spread evenly."""
-    mass = {0: max(0, total - sum(mass.values())), **{w: n for w, n in mass.items() if w}}
-    ends, goals = [], [total * e / sum(FRAGMENTS) for e in np.cumsum(FRAGMENTS)[:-1]]
-    before = 0
+def fragment_ends(mass: dict[int, int]) -> np.ndarray:
+    """Places in the order (weight in the highest 8 bits, then the hash) at which fragments end, but the last: after the
+    weight 0, and where the n-grams of other weights (mass: how many by weight; hashes spread evenly) are cut into halves."""
+    goal, before = sum(n for w, n in mass.items() if w) / 2, 0
     for w, n in sorted(mass.items()):
-        while len(ends) < len(goals) and n and goals[len(ends)] <= before + n:
-            ends.append((w << 56) + min((1 << 56) - 1, int((goals[len(ends)] - before) / n * (1 << 56))))
-        before += n
-    return np.array(ends + [1 << 63] * (len(goals) - len(ends)), np.uint64)
+        if w and before + n >= goal:
+            return np.array([1 << 56, (w << 56) + min((1 << 56) - 1, int((goal - before) / n * (1 << 56)))], np.uint64)
+        before += n if w else 0
+    return np.array([1 << 56, 1 << 63], np.uint64)
 
 
 def _segments(docs: DataFrame, weight, ends: np.ndarray, kind: str) -> DataFrame:
@@ -123,12 +121,12 @@ def _segments(docs: DataFrame, weight, ends: np.ndarray, kind: str) -> DataFrame
                 sets.append(s[order])
                 cuts.append(np.concatenate(([0], np.searchsorted(place[order], ends), [len(s)])))
             columns = []
-            for f in range(len(FRAGMENTS)):
+            for f in range(FRAGMENTS):
                 own = [signed(s[c[f] : c[f + 1]]) for s, c in zip(sets, cuts)]
                 columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, own)]).astype(np.int32)), pa.array(np.concatenate(own))))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", *(f"f{f}" for f in range(len(FRAGMENTS)))])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *columns], names=["doc_id", *(f"f{f}" for f in range(FRAGMENTS))])
 
-    return docs.mapInArrow(scan, f"doc_id {kind}" + "".join(f", f{f} array<long>" for f in range(len(FRAGMENTS))))
+    return docs.mapInArrow(scan, f"doc_id {kind}" + "".join(f", f{f} array<long>" for f in range(FRAGMENTS)))
 
 
 def _possible(n_x, at_x, shared_x, n_y, at_y, shared_y):
@@ -168,7 +166,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, weight, ends: np.ndarray, kind:
     hubs = {side: _hubs(pairs, side, scratch) for side in "ab"}
     # left_a, left_b: n-grams in the fragments to come.
     alive, old = pairs.select("*", F.lit(0).cast("long").alias("both"), F.col("na").alias("left_a"), F.col("nb").alias("left_b")), None
-    for f in range(len(FRAGMENTS)):
+    for f in range(FRAGMENTS):
         met = _meet(_meet(alive, parts, "a", f, hubs["a"]), parts, "b", f, hubs["b"])
         met = met.select("a", "b", "na", "nb", (F.col("both") + F.size(F.array_intersect("ga", "gb"))).alias("both"),
                          (F.col("left_a") - F.size("ga")).alias("left_a"), (F.col("left_b") - F.size("gb")).alias("left_b"))
@@ -196,7 +194,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketch = scratch.keep(sketch.select(F.col("bucket").alias("i"), F.floor(F.log2("seen")).cast("long").alias("v"), "seen"), "sketch")
     weight = spark.sparkContext.broadcast(dense(sketch.select("i", "v"), SKETCH_BITS, np.uint8))
     mass = {r.v: r.n for r in sketch.groupBy("v").agg(F.sum("seen").alias("n")).collect()}  # 64 rows at most
-    ends = fragment_ends(mass, rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0])
+    ends = fragment_ends(mass)
 
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
     classes = scratch.keep(classes.where("n > 1").select("digest", "class_id"), "classes")
@@ -211,18 +209,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in_list = W.partitionBy("gram", "part").orderBy("doc_id")
     met = _prefixes(single, weight, kind).select("*", part).select("*", F.lag("doc_id").over(in_list).alias("before"), F.lead("doc_id").over(in_list).alias("after"))
     met = met.where("before is not null or after is not null or parts > 1").drop("before", "after")
-    posted = scratch.keep(met.withColumn("shared", F.row_number().over(W.partitionBy("doc_id").orderBy("at")).cast("long") - 1), "postings")
-    # Members with the fewest n-grams of their own come first: the least edited of near copies is the hub.
+    shared = F.row_number().over(W.partitionBy("doc_id").orderBy("at")).cast("long") - 1
+    alone = F.col("size") - F.ceil(F.col("size") * PART / WHOLE) + 1 - F.count("*").over(W.partitionBy("doc_id"))
+    posted = scratch.keep(met.select("*", shared.alias("shared"), alone.cast("long").alias("alone")), "postings")
+    # Members with the fewest n-grams of their own come first, in all lists alike: the least edited of near copies is the
+    # hub, and a member meets much the same neighbours in all of its lists.
     member = F.struct("doc_id", "size", "at", "shared")
 
     def tried_with_neighbours(rows: DataFrame, *keys: str) -> DataFrame:
-        plain = W.partitionBy(*keys).orderBy(F.col("at") - F.col("shared"), "size", "doc_id")
+        plain = W.partitionBy(*keys).orderBy("alone", "size", "doc_id")
         star = rows.select("*", F.lag(member).over(plain).alias("before"), F.first(member).over(plain).alias("hub"))
         star = star.select("doc_id", "size", "at", "shared", F.explode(F.array("before", "hub")).alias("x")).where(F.col("x").isNotNull() & (F.col("x.doc_id") != F.col("doc_id")))
         return star.where(_possible(*(F.col(c) for c in ("size", "at", "shared", "x.size", "x.at", "x.shared")))).select(
             F.col("x.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("x.size").alias("na"), F.col("size").alias("nb"))
 
-    firsts = F.row_number().over(W.partitionBy("gram", "part").orderBy(F.col("at") - F.col("shared"), "size", "doc_id"))
+    firsts = F.row_number().over(W.partitionBy("gram", "part").orderBy("alone", "size", "doc_id"))
     heads = posted.where("parts > 1").withColumn("r", firsts).where("r = 1").drop("r")
     star = tried_with_neighbours(posted, "gram", "part").unionByName(tried_with_neighbours(heads, "gram"))
     tried = scratch.keep(_ordered(star).distinct(), "star")
